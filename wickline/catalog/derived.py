@@ -30,3 +30,63 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_bars(ticks(spark, sf_dir), WIDTH, SESSION, price="price", order="event_id")
+
+
+def option_contracts(bars: DataFrame) -> DataFrame:
+    """Listing per symbol and day: 13 strikes around the first open, five expiries,
+    calls and puts. Some contracts have no ticker."""
+    days = bars.groupBy("symbol", "session_date").agg(F.floor(F.min_by("open", "ts")).alias("atm"))
+    listed = (
+        days.withColumn("strike", F.explode(F.sequence(F.col("atm") - 6, F.col("atm") + 6)))
+        .withColumn("dte", F.explode(F.array(*[F.lit(d) for d in (0, 1, 3, 7, 14)])))
+        .withColumn("contract_type", F.explode(F.array(F.lit("call"), F.lit("put"))))
+        .withColumn("expiration", F.date_add("session_date", F.col("dte")))
+    )
+    ticker = F.concat(
+        F.lit("O:"),
+        F.col("symbol"),
+        F.date_format("expiration", "yyMMdd"),
+        F.when(F.col("contract_type") == "call", "C").otherwise("P"),
+        F.col("strike").cast("string"),
+    )
+    return listed.select(
+        F.col("symbol").alias("underlying"),
+        "contract_type",
+        F.col("session_date").alias("as_of"),
+        F.date_format("expiration", "yyyy-MM-dd").alias("expiration_date"),
+        F.col("strike").cast("string").alias("strike_price"),
+        F.when(F.col("strike") % 11 != 0, ticker).alias("ticker"),
+    )
+
+
+def option_chain(contracts: DataFrame) -> DataFrame:
+    """The same contracts without the day they were listed on."""
+    keys = [
+        "underlying",
+        "contract_type",
+        F.col("expiration_date").alias("expiration"),
+        F.col("strike_price").alias("strike"),
+    ]
+    return contracts.groupBy(*keys).agg(F.min("ticker").alias("contractSymbol"))
+
+
+def option_bars(contracts: DataFrame, bars: DataFrame) -> DataFrame:
+    """Bars of the listed contracts in service layout (epoch ms, close): intrinsic
+    value plus a premium per day to expiry. Some strikes never trade and some
+    hours are missing."""
+    priced = contracts.where("ticker is not null").select(
+        F.col("underlying").alias("symbol"),
+        F.col("as_of").alias("session_date"),
+        "contract_type",
+        "ticker",
+        F.col("strike_price").cast("bigint").alias("strike"),
+        F.datediff(F.col("expiration_date").cast("date"), "as_of").alias("dte"),
+    )
+    spot = bars.select("symbol", "session_date", "ts", "local_ts", F.col("close").alias("spot"))
+    joined = priced.where("strike % 5 <> 0").join(spot, ["symbol", "session_date"])
+    traded = joined.where((F.hour("local_ts") + F.col("strike")) % 4 != 0)
+    inside = F.when(F.col("contract_type") == "call", F.col("spot") - F.col("strike")).otherwise(
+        F.col("strike") - F.col("spot")
+    )
+    close = F.round(1 + 0.1 * F.col("dte") + F.greatest(inside, F.lit(0.0)), 4)
+    return traded.select("ticker", F.unix_millis("ts").alias("t"), close.alias("c"))

@@ -44,13 +44,13 @@ def changes(bars: DataFrame) -> DataFrame:
     return moved.withColumns({"gain": R.gain(F.col("delta")), "loss": R.loss(F.col("delta"))})
 
 
-def ewm(bars: DataFrame, averages: dict[str, tuple[str, float]]) -> DataFrame:
+def ewm(bars: DataFrame, averages: dict[str, tuple[str, float]], levels: tuple[str, ...] = ()) -> DataFrame:
     """Exponentially weighted means, ``{name: (SQL expression, alpha)}``."""
-    return scan_series(with_block(bars), averages).drop("block")
+    return scan_series(with_block(bars), averages, levels=levels).drop("block")
 
 
 def ema(bars: DataFrame, spans: dict[str, int], value: str = "close") -> DataFrame:
-    return ewm(bars, {name: (value, span_alpha(n)) for name, n in spans.items()})
+    return ewm(bars, {name: (value, span_alpha(n)) for name, n in spans.items()}, levels=tuple(spans))
 
 
 def rsi(bars: DataFrame, length: int = 14) -> DataFrame:

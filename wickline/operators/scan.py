@@ -15,6 +15,11 @@ nothing precedes is entered with ``x[f] / q^f``, f being its first non-null row.
 All means of a table share the segments, the summary and the join; running counts
 that must continue over blocks (ordinals) ride along.
 
+A mean of prices is taken relative to the block's first price ``c``: the weights
+sum to one, so ``y - c`` obeys the same formula over ``x - c``, and means of a flat
+series stay exactly flat and exactly equal to each other. A mean that decays towards
+zero must not be shifted, so only the means named as ``levels`` are.
+
 Nulls may only lead a series. Segments are short enough for ``q^-k`` to stay
 finite.
 """
@@ -50,27 +55,34 @@ def _array(items: list[str], kind: str) -> str:
     return f"cast(array({', '.join(items)}) as array<{kind}>)"
 
 
+def _shifted(x: str, i: int) -> str:
+    return f"coalesce({x} - base_{i}, 0D)"
+
+
 def _carry(rows: DataFrame, means: list[tuple[str, float]], conditions: list[str]) -> DataFrame:
     """One row per block: ``y_in`` (segment -> means on entry), ``c_in`` (counts
     on entry) and ``c_all`` (counts of the whole symbol)."""
     numbered = list(enumerate(means))
     segments = rows.groupBy(*BLOCK, "seg").agg(
         F.expr("count(*) as n"),
-        *[F.expr(f"sum(coalesce({x}, 0D) * pow({1 - a}D, -t)) as sum_{i}") for i, (x, a) in numbered],
+        *[F.expr(f"sum({_shifted(x, i)} * pow({1 - a}D, -t)) as sum_{i}") for i, (x, a) in numbered],
         *[F.expr(f"min_by({x} / pow({1 - a}D, t), if({x} is null, null, t)) as seed_{i}") for i, (x, a) in numbered],
+        *[F.expr(f"coalesce(max(base_{i}), 0D) as base_{i}") for i, _ in numbered],
         *[F.expr(f"count_if({c}) as count_{i}") for i, c in enumerate(conditions)],
     )
     decay = _array([f"pow({1 - a}D, n)" for _, (_, a) in numbered], "double")
     local = _array([f"{a}D * pow({1 - a}D, n - 1) * sum_{i}" for i, (_, a) in numbered], "double")
     seed = _array([f"seed_{i}" for i, _ in numbered], "double")
-    segment = f"named_struct('seg', seg, 'decay', {decay}, 'local', {local}, 'seed', {seed})"
+    base = _array([f"base_{i}" for i, _ in numbered], "double")
+    segment = f"named_struct('seg', seg, 'decay', {decay}, 'local', {local}, 'seed', {seed}, 'base', {base})"
     counts = _array([f"sum(count_{i})" for i in range(len(conditions))], "bigint")
     blocks = segments.groupBy(*BLOCK).agg(
         F.expr(f"sort_array(collect_list({segment})) as segs"), F.expr(f"{counts} as counts")
     )
 
     entered = "zip_with(a.y, s.seed, (y, e) -> coalesce(y, e))"
-    left = f"zip_with(zip_with({entered}, s.decay, (y, d) -> y * d), s.local, (y, l) -> y + l)"
+    shifted = f"zip_with({entered}, s.base, (y, b) -> y - b)"
+    left = f"zip_with(zip_with(zip_with({shifted}, s.decay, (y, d) -> y * d), s.local, (y, l) -> y + l), s.base, (y, b) -> y + b)"
     over_segments = f"""
         aggregate(item.segs,
             named_struct('y', acc.y, 'y_in', cast(array() as array<array<double>>)),
@@ -94,11 +106,13 @@ def scan_series(
     rows: DataFrame,
     averages: dict[str, tuple[str, float]],
     ordinals: dict[str, str] | None = None,
+    levels: tuple[str, ...] = (),
 ) -> DataFrame:
     """Add a column per exponentially weighted mean, ``{name: (x, alpha)}``, and
     per ordinal, ``{name: condition}``: the number of earlier rows of the symbol
     that meet the condition, null on rows that do not, with the symbol's total in
-    ``{name}_total``. ``x`` and ``condition`` are SQL expressions.
+    ``{name}_total``. ``x`` and ``condition`` are SQL expressions; ``levels`` names
+    the means of price levels.
 
     ``rows`` are blocked bars without history rows.
     """
@@ -111,18 +125,23 @@ def scan_series(
     in_block = "over (partition by symbol, block order by ts)"
     so_far = "over (partition by symbol, block order by ts rows unbounded preceding)"
     runs = [f"count_if({c}) {so_far} as run_{i}" for i, c in enumerate(conditions)]
-    placed = rows.selectExpr("*", f"row_number() {in_block} - 1 as t0", *runs)
+    bases = [
+        f"first({x}, true) {so_far} as base_{i}" if name in levels else f"0D as base_{i}"
+        for i, (name, (x, _)) in enumerate(zip(names, means))
+    ]
+    placed = rows.selectExpr("*", f"row_number() {in_block} - 1 as t0", *runs, *bases)
     placed = placed.selectExpr("*", f"cast(t0 div {length} as int) as seg", f"cast(t0 % {length} as double) as t")
 
     in_segment = "over (partition by symbol, block, seg order by ts rows unbounded preceding)"
     sums = [
-        f"sum(coalesce({x}, 0D) * pow({1 - a}D, -t)) {in_segment} as sum_{i}" for i, (x, a) in enumerate(means)
+        f"sum({_shifted(x, i)} * pow({1 - a}D, -t)) {in_segment} as sum_{i}" for i, (x, a) in enumerate(means)
     ]
     joined = placed.selectExpr("*", *sums).join(_carry(placed, means, conditions), list(BLOCK))
 
     out = {k: x for k, (x, alpha) in averages.items() if alpha >= 1.0}
     for i, (name, (x, a)) in enumerate(zip(names, means)):
-        mean = f"pow({1 - a}D, t) * ({1 - a}D * get(get(y_in, seg), {i}) + {a}D * sum_{i})"
+        entered = f"{1 - a}D * (get(get(y_in, seg), {i}) - base_{i})"
+        mean = f"base_{i} + pow({1 - a}D, t) * ({entered} + {a}D * sum_{i})"
         out[name] = f"if({x} is null, null, {mean})"
     for i, (name, condition) in enumerate(ordinals.items()):
         out[name] = f"if({condition}, get(c_in, {i}) + run_{i} - 1, null)"

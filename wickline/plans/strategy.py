@@ -94,6 +94,7 @@ class BandReversal:
                 "ema20": ("close", span_alpha(20)),
             },
             ordinals={"bar_idx": complete},
+            levels=("ema10", "ema20"),
         )
         return scanned.withColumn("rsi", R.relative_strength(F.col("avg_gain"), F.col("avg_loss"))).drop(
             *scratch, "avg_gain", "avg_loss"
