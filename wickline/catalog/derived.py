@@ -18,10 +18,8 @@ RISK = Risk(commission_per_trade=1.0)
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One tick per event: the price walks by 0.01 x (value - 50) per event type.
     Decimal arithmetic, so that every engine and partitioning gives the same."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "event_type", "value")
-    raw = events.select(F.col("event_type").alias("symbol"), "ts", "event_id", "value").withColumn(
-        "ts", F.col("ts").cast("timestamp")
-    )
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    raw = events.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp"), "event_id", "value")
     step = F.col("value").cast("decimal(12,2)") - F.lit(50).cast("decimal(12,2)")
     walked = running_total(raw, "walk", step, key="symbol", ts="ts", tie="event_id")
     price = (F.lit(300) + F.col("walk") * F.lit("0.01").cast("decimal(3,2)")).cast("double")

@@ -57,7 +57,9 @@ class Market:
         return derived.ticks(self.spark, self.sf_dir)
 
     def bars(self) -> DataFrame:
-        return derived.bars(self.spark, self.sf_dir)
+        """Bars, settled: they are far fewer than the ticks, and every query over
+        them reads them more than once."""
+        return settle(derived.bars(self.spark, self.sf_dir))
 
     def strategy(self) -> BandReversal:
         return BandReversal(STRATEGY)
@@ -69,9 +71,8 @@ class Market:
         return backtest(self.bars(), self.strategy(), RISK)
 
     def options(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Trades, raw contracts and raw option bars, over bars that are settled
-        once because all three read them."""
-        bars = settle(self.bars())
+        """Trades, raw contracts and raw option bars."""
+        bars = self.bars()
         listed = derived.option_contracts(bars)
         return backtest(bars, self.strategy(), RISK), listed, derived.option_bars(listed, bars)
 
@@ -81,7 +82,7 @@ def _keys(df: DataFrame) -> DataFrame:
 
 
 def bars_30m(m: Market) -> DataFrame:
-    return m.bars()
+    return derived.bars(m.spark, m.sf_dir)
 
 
 def running_price(m: Market) -> DataFrame:
@@ -152,7 +153,7 @@ def volume_gate(m: Market) -> DataFrame:
 
 
 def forward_path_(m: Market) -> DataFrame:
-    indexed = m.indexed()
+    indexed = settle(m.indexed())
     found = indexed.where(m.strategy().signal().isNotNull())
     return forward_path(found, indexed, RISK.hold_bars)
 
@@ -210,7 +211,7 @@ def summary_by_trend(m: Market) -> DataFrame:
 
 
 def _requests(trades: DataFrame) -> DataFrame:
-    return C.with_request(trades, OPTIONS.dte_target_days, ZONE)
+    return C.with_request(settle(trades), OPTIONS.dte_target_days, ZONE)
 
 
 def contracts_candidates(m: Market) -> DataFrame:
@@ -250,7 +251,8 @@ def _kth_strike(otm_steps: int) -> Callable[[Market], DataFrame]:
 
 def asof_price(m: Market) -> DataFrame:
     made, listed, quoted = m.options()
-    picks = C.pick_contract(_requests(made), read_option_contracts(listed), 2).where("ticker is not null")
+    made = settle(made)
+    picks = C.pick_contract(C.with_request(made, OPTIONS.dte_target_days, ZONE), read_option_contracts(listed), 2).where("ticker is not null")
     lookups = made.select(
         "symbol",
         "entry_time",
@@ -298,7 +300,7 @@ def enriched_summary(m: Market) -> DataFrame:
 
 
 def unimplemented_provider(m: Market) -> DataFrame:
-    made = m.trades()
+    made = settle(m.trades())
     known = enrich(made, opts=Options(provider="alpaca"))
     unknown = enrich(made, opts=Options(provider=" Other "))
     unchanged = enrich(made, opts=Options(provider="synthetic", require_real_prices=True))
@@ -327,7 +329,7 @@ def example_trades(m: Market) -> DataFrame:
 
 
 def trade_context(m: Market) -> DataFrame:
-    bars = settle(m.bars())
+    bars = m.bars()
     examples = report.example_trades(backtest(bars, m.strategy(), RISK), 2)
     return report.trade_context(examples, indexed_bars(bars, m.strategy()))
 

@@ -1,27 +1,33 @@
-"""Time-zone and session arithmetic as column expressions."""
+"""Time-zone and session arithmetic as column expressions, for sessions in UTC."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 MICROS_PER_DAY = 86_400_000_000
 
 
+def require_utc(spark: SparkSession) -> None:
+    """The functions below read the UTC axis through the session zone."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "Z", "+00:00"):
+        raise ValueError(f"spark.sql.session.timeZone must be UTC, not {zone}")
+
+
 def wall_clock(ts: Column, timezone: str) -> Column:
     """Local wall clock (timestamp_ntz) of an instant column."""
-    return F.convert_timezone(F.current_timezone(), F.lit(timezone), ts.cast("timestamp_ntz"))
+    return F.from_utc_timestamp(ts, timezone).cast("timestamp_ntz")
 
 
 def utc_instant(ts: Column) -> Column:
     """Instant of a timestamp column; a zone-less one is read as UTC."""
-    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), ts.cast("timestamp_ntz")).cast("timestamp")
+    return ts.cast("timestamp")
 
 
 def local_midnight(day: Column, timezone: str) -> Column:
     """Instant at which a calendar date starts in a zone."""
-    midnight = day.cast("timestamp_ntz")
-    return F.convert_timezone(F.lit(timezone), F.current_timezone(), midnight).cast("timestamp")
+    return F.to_utc_timestamp(day.cast("timestamp"), timezone)
 
 
 def local_date_after(ts: Column, days: int, timezone: str) -> Column:
@@ -31,7 +37,7 @@ def local_date_after(ts: Column, days: int, timezone: str) -> Column:
 
 
 def second_of_day(local_ts: Column) -> Column:
-    return F.hour(local_ts) * 3600 + F.minute(local_ts) * 60 + F.second(local_ts)
+    return F.pmod(F.unix_seconds(local_ts.cast("timestamp")), F.lit(86_400))
 
 
 def seconds_from_clock(text: str) -> int:

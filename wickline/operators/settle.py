@@ -3,24 +3,33 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``. Only a local
+    session without that setting gets a folder of its own."""
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+        folder = tempfile.mkdtemp(prefix="wickline-")
+        context.setCheckpointDir(folder)
+        folder = context.getCheckpointDir()
+    return folder
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's checkpoint folder and go on from there.
+    """Write ``df`` as a Parquet table in the shared folder and read it back.
 
-    Used where a small result of a long plan feeds many joins; without it each of
-    them would run the long plan again. The folder is the shared one named by
-    ``spark.checkpoint.dir``, so losing executors loses nothing. Only a local
-    session without that setting gets a folder of its own.
+    Used where the small result of a long plan feeds several branches: bars built
+    from ticks, trades that five joins look up. Without it each branch would run
+    the long plan again. The table survives lost executors, is read with column
+    pruning, and its size is known to the planner.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-            folder = tempfile.mkdtemp(prefix="wickline-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/settled/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wickline.functions import pricing as P
-from wickline.functions.clock import local_date_after
+from wickline.functions.clock import local_date_after, require_utc
 from wickline.operators.asof import asof_prices
 from wickline.operators.contracts import (
     kth_otm_strike,
@@ -156,6 +156,7 @@ def enrich(
     """Option look-up, re-pricing and filter as ``opts`` says. ``contracts`` is the
     listing for ``polygon`` and the chain for ``yahoo``; one row per trade unless
     real prices are required. The trades are settled first: five joins read them."""
+    require_utc(trades.sparkSession)
     provider = opts.provider.strip().lower()
     if provider in ("synthetic", "none"):
         return trades

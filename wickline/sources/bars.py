@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickline.functions.clock import in_session, utc_instant, wall_clock
+from wickline.functions.clock import in_session, require_utc, utc_instant, wall_clock
 from wickline.params import Session
 
 PRICES = ("open", "high", "low", "close")
@@ -30,9 +30,9 @@ def normalize_columns(df: DataFrame) -> DataFrame:
 def localize(df: DataFrame, timezone: str, ts: str = "ts") -> DataFrame:
     """Add the wall clock and the local date of the session zone. Zone-less
     timestamps are UTC."""
-    instant = utc_instant(F.col(ts)) if dict(df.dtypes)[ts] == "timestamp_ntz" else F.col(ts).cast("timestamp")
+    require_utc(df.sparkSession)
     return (
-        df.withColumn(ts, instant)
+        df.withColumn(ts, utc_instant(F.col(ts)))
         .withColumn("local_ts", wall_clock(F.col(ts), timezone))
         .withColumn("session_date", F.to_date("local_ts"))
     )

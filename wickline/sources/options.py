@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wickline.functions.clock import utc_instant, wall_clock
+from wickline.functions.clock import require_utc, utc_instant, wall_clock
 
 LISTING_DAYS = 14
 
@@ -62,6 +62,7 @@ def read_option_chain(
 
 
 def _quotes(df: DataFrame, ts: Column, close: Column, timezone: str) -> DataFrame:
+    require_utc(df.sparkSession)
     instant = df.select(F.col("ticker"), ts.alias("ts"), close.cast("double").alias("close"))
     return instant.withColumn("session_date", F.to_date(wall_clock(F.col("ts"), timezone)))
 
@@ -75,8 +76,5 @@ def read_option_bars_ohlc(raw: DataFrame, timezone: str) -> DataFrame:
     """Bar layout: named columns in any case; without a close column, no rows."""
     df = raw.select([F.col(f"`{c}`").alias(c.split("|")[0].strip().lower()) for c in raw.columns])
     if "close" not in df.columns:
-        return _quotes(df, F.col("ts").cast("timestamp"), F.lit(None), timezone).limit(0)
-    ts = F.col("ts").cast("timestamp")
-    if dict(df.dtypes)["ts"] == "timestamp_ntz":
-        ts = utc_instant(F.col("ts"))
-    return _quotes(df, ts, F.nanvl(F.col("close").cast("double"), F.lit(None)), timezone)
+        return _quotes(df, utc_instant(F.col("ts")), F.lit(None), timezone).limit(0)
+    return _quotes(df, utc_instant(F.col("ts")), F.nanvl(F.col("close").cast("double"), F.lit(None)), timezone)
