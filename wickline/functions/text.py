@@ -16,11 +16,14 @@ def two_decimals(value: Column) -> Column:
     """
     size = F.abs(value)
     whole = F.floor(size)
-    scaled = ((size - whole) * F.lit(float(TWO_52))).cast("bigint") * 100
+    units = (size - whole) * F.lit(float(TWO_52))
+    below = (units - F.floor(units)) * 100  # bits under 2^-52, only present in values below one
+    scaled = F.floor(units) * 100 + F.floor(below)
     cents = F.floor(F.shiftright(scaled, 52))
     rest = scaled - F.shiftleft(cents, 52)
     half = F.lit(TWO_52 // 2)
-    up = (rest > half) | ((rest == half) & (cents % 2 == 1))
+    above_tie = (below > F.floor(below)) | (cents % 2 == 1)
+    up = (rest > half) | ((rest == half) & above_tie)
     total = whole * 100 + cents + F.when(up, 1).otherwise(0)
     sign = F.when(value < 0, "-").otherwise("")
     return F.concat(sign, F.floor(total / 100).cast("string"), F.lit("."), F.lpad((total % 100).cast("string"), 2, "0"))
