@@ -40,8 +40,7 @@ def rolling(bars: DataFrame, value: str, length: int) -> DataFrame:
 def changes(bars: DataFrame) -> DataFrame:
     """Previous close, its difference, and the gain / loss split."""
     framed = _looking_back(bars, 1, {"prev_close": R.previous(F.col("close"))})
-    moved = framed.withColumn("delta", F.col("close") - F.col("prev_close"))
-    return moved.withColumns({"gain": R.gain(F.col("delta")), "loss": R.loss(F.col("delta"))})
+    return framed.selectExpr("*", "close - prev_close as delta", f"{R.GAIN} as gain", f"{R.LOSS} as loss")
 
 
 def ewm(bars: DataFrame, averages: dict[str, tuple[str, float]], levels: tuple[str, ...] = ()) -> DataFrame:
@@ -60,7 +59,7 @@ def rsi(bars: DataFrame, length: int = 14) -> DataFrame:
 
 
 def atr(bars: DataFrame, length: int = 14) -> DataFrame:
-    ranged = changes(bars).withColumn("tr", R.true_range(F.col("high"), F.col("low"), F.col("prev_close")))
+    ranged = changes(bars).selectExpr("*", f"{R.TRUE_RANGE} as tr")
     return scan_series(ranged, {"atr": ("tr", wilder_alpha(length))}).drop("block")
 
 

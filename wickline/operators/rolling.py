@@ -20,33 +20,30 @@ def difference(value: Column) -> Column:
     return value - previous(value)
 
 
-def _full_frame(value: Column, length: int, measure: Column) -> Column:
-    """``measure`` over the last ``length`` rows, null unless all are present
-    and non-null."""
-    frame = block_window().rowsBetween(-(length - 1), Window.currentRow)
-    return F.when(F.count(value).over(frame) == length, measure.over(frame))
+def _last(length: int):
+    return block_window().rowsBetween(-(length - 1), Window.currentRow)
 
 
-def rolling_mean(value: Column, length: int) -> Column:
-    return _full_frame(value, length, F.avg(value))
-
-
-def rolling_std(value: Column, length: int) -> Column:
-    """Population standard deviation."""
-    return _full_frame(value, length, F.stddev_pop(value))
+def is_full(value: Column, length: int) -> Column:
+    """Whether the last ``length`` rows are all there and non-null."""
+    return F.count(value).over(_last(length)) == length
 
 
-def gain(delta: Column) -> Column:
-    return F.when(delta.isNotNull(), F.greatest(delta, F.lit(0.0)))
+def rolling_mean(value: Column, length: int) -> Column:
+    """Null unless the frame is full."""
+    return F.when(is_full(value, length), F.avg(value).over(_last(length)))
 
 
-def loss(delta: Column) -> Column:
-    return F.when(delta.isNotNull(), F.greatest(-delta, F.lit(0.0)))
+def rolling_std(value: Column, length: int) -> Column:
+    """Population standard deviation, null unless the frame is full."""
+    return F.when(is_full(value, length), F.stddev_pop(value).over(_last(length)))
 
 
-def true_range(high: Column, low: Column, prev_close: Column) -> Column:
-    """Largest of the three ranges; ``greatest`` skips the nulls of a first row."""
-    return F.greatest(F.abs(high - low), F.abs(high - prev_close), F.abs(low - prev_close))
+# SQL expressions over close, high, low and prev_close. ``greatest`` skips nulls,
+# which is wanted for the first bar's true range and guarded against elsewhere.
+GAIN = "if(prev_close is null, null, greatest(close - prev_close, 0D))"
+LOSS = "if(prev_close is null, null, greatest(prev_close - close, 0D))"
+TRUE_RANGE = "greatest(abs(high - low), abs(high - prev_close), abs(low - prev_close))"
 
 
 def relative_volume(volume: Column, volume_sma: Column) -> Column:

@@ -27,6 +27,7 @@ finite.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,23 +56,39 @@ def _array(items: list[str], kind: str) -> str:
     return f"cast(array({', '.join(items)}) as array<{kind}>)"
 
 
-def _shifted(x: str, i: int) -> str:
-    return f"coalesce({x} - base_{i}, 0D)"
+@dataclass(frozen=True)
+class Mean:
+    """One mean: its input, its alpha, and the columns that hold the base and the
+    weight ``q^-t`` of a row."""
 
+    x: str
+    alpha: float
+    base: str
+    weight: str
 
-def _carry(rows: DataFrame, means: list[tuple[str, float]], conditions: list[str]) -> DataFrame:
+    @property
+    def decay(self) -> str:
+        return f"{1 - self.alpha}D"
+
+    @property
+    def weighted(self) -> str:
+        """``x[k] q^-k``, relative to the base."""
+        return f"coalesce({self.x} - {self.base}, 0D) * {self.weight}"
+
+
+def _carry(rows: DataFrame, means: list[Mean], conditions: list[str]) -> DataFrame:
     """One row per block: ``y_in`` (segment -> means on entry), ``c_in`` (counts
     on entry) and ``c_all`` (counts of the whole symbol)."""
     numbered = list(enumerate(means))
     segments = rows.groupBy(*BLOCK, "seg").agg(
         F.expr("count(*) as n"),
-        *[F.expr(f"sum({_shifted(x, i)} * pow({1 - a}D, -t)) as sum_{i}") for i, (x, a) in numbered],
-        *[F.expr(f"min_by({x} / pow({1 - a}D, t), if({x} is null, null, t)) as seed_{i}") for i, (x, a) in numbered],
-        *[F.expr(f"coalesce(max(base_{i}), 0D) as base_{i}") for i, _ in numbered],
+        *[F.expr(f"sum({m.weighted}) as sum_{i}") for i, m in numbered],
+        *[F.expr(f"min_by({m.x} * {m.weight}, if({m.x} is null, null, t)) as seed_{i}") for i, m in numbered],
+        *[F.expr(f"coalesce(max({m.base}), 0D) as base_{i}") for i, m in numbered],
         *[F.expr(f"count_if({c}) as count_{i}") for i, c in enumerate(conditions)],
     )
-    decay = _array([f"pow({1 - a}D, n)" for _, (_, a) in numbered], "double")
-    local = _array([f"{a}D * pow({1 - a}D, n - 1) * sum_{i}" for i, (_, a) in numbered], "double")
+    decay = _array([f"pow({m.decay}, n)" for m in means], "double")
+    local = _array([f"{m.alpha}D * pow({m.decay}, n - 1) * sum_{i}" for i, m in numbered], "double")
     seed = _array([f"seed_{i}" for i, _ in numbered], "double")
     base = _array([f"base_{i}" for i, _ in numbered], "double")
     segment = f"named_struct('seg', seg, 'decay', {decay}, 'local', {local}, 'seed', {seed}, 'base', {base})"
@@ -117,32 +134,36 @@ def scan_series(
     ``rows`` are blocked bars without history rows.
     """
     ordinals = ordinals or {}
-    names = [k for k, (_, alpha) in averages.items() if alpha < 1.0]
-    means = [averages[k] for k in names]
     conditions = list(ordinals.values())
-    length = segment_length([alpha for _, alpha in means])
+    blended = {k: v for k, v in averages.items() if v[1] < 1.0}
+    alphas = sorted({alpha for _, alpha in blended.values()})
+    bases = sorted({x for k, (x, _) in blended.items() if k in levels})
+    means = [
+        Mean(x, alpha, f"base_{bases.index(x)}" if k in levels else "0D", f"weight_{alphas.index(alpha)}")
+        for k, (x, alpha) in blended.items()
+    ]
 
     in_block = "over (partition by symbol, block order by ts)"
     so_far = "over (partition by symbol, block order by ts rows unbounded preceding)"
-    runs = [f"count_if({c}) {so_far} as run_{i}" for i, c in enumerate(conditions)]
-    bases = [
-        f"first({x}, true) {so_far} as base_{i}" if name in levels else f"0D as base_{i}"
-        for i, (name, (x, _)) in enumerate(zip(names, means))
-    ]
-    placed = rows.selectExpr("*", f"row_number() {in_block} - 1 as t0", *runs, *bases)
-    placed = placed.selectExpr("*", f"cast(t0 div {length} as int) as seg", f"cast(t0 % {length} as double) as t")
+    length = segment_length(alphas)
+    placed = rows.selectExpr(
+        "*",
+        f"row_number() {in_block} - 1 as t0",
+        *[f"count_if({c}) {so_far} as run_{i}" for i, c in enumerate(conditions)],
+        *[f"first({x}, true) {so_far} as base_{i}" for i, x in enumerate(bases)],
+    )
+    placed = placed.selectExpr("*", f"cast(t0 div {length} as int) as seg", f"cast(t0 % {length} as int) as t").drop("t0")
+    placed = placed.selectExpr("*", *[f"pow({1 - a}D, -t) as weight_{i}" for i, a in enumerate(alphas)])
 
     in_segment = "over (partition by symbol, block, seg order by ts rows unbounded preceding)"
-    sums = [
-        f"sum({_shifted(x, i)} * pow({1 - a}D, -t)) {in_segment} as sum_{i}" for i, (x, a) in enumerate(means)
-    ]
-    joined = placed.selectExpr("*", *sums).join(_carry(placed, means, conditions), list(BLOCK))
+    summed = placed.selectExpr("*", *[f"sum({m.weighted}) {in_segment} as sum_{i}" for i, m in enumerate(means)])
+    joined = summed.join(_carry(placed, means, conditions), list(BLOCK))
 
     out = {k: x for k, (x, alpha) in averages.items() if alpha >= 1.0}
-    for i, (name, (x, a)) in enumerate(zip(names, means)):
-        entered = f"{1 - a}D * (get(get(y_in, seg), {i}) - base_{i})"
-        mean = f"base_{i} + pow({1 - a}D, t) * ({entered} + {a}D * sum_{i})"
-        out[name] = f"if({x} is null, null, {mean})"
+    for i, (name, m) in enumerate(zip(blended, means)):
+        entered = f"{m.decay} * (get(get(y_in, seg), {i}) - {m.base})"
+        mean = f"{m.base} + ({entered} + {m.alpha}D * sum_{i}) / {m.weight}"
+        out[name] = f"if({m.x} is null, null, {mean})"
     for i, (name, condition) in enumerate(ordinals.items()):
         out[name] = f"if({condition}, get(c_in, {i}) + run_{i} - 1, null)"
         out[f"{name}_total"] = f"get(c_all, {i})"

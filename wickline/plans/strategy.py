@@ -64,28 +64,21 @@ class BandReversal:
                     "prev_close": R.previous(close),
                     "bb_basis": R.rolling_mean(close, p.bb_length),
                     "sigma": R.rolling_std(close, p.bb_length),
+                    "bands_known": R.is_full(close, p.bb_length),
                     "volume_sma": R.rolling_mean(volume, p.volume_ma_length),
                 }
             )
             .where(~F.col("is_history"))
-            .drop("is_history")
+            .selectExpr("*", f"{R.GAIN} as gain", f"{R.LOSS} as loss", f"{R.TRUE_RANGE} as tr")
+            .drop("is_history", "prev_close")
         )
-        delta = close - F.col("prev_close")
-        measured = add_bands(framed, p.bb_std).withColumns(
-            {
-                "rel_volume": R.relative_volume(volume, F.col("volume_sma")),
-                "gain": R.gain(delta),
-                "loss": R.loss(delta),
-                "tr": R.true_range(F.col("high"), F.col("low"), F.col("prev_close")),
-            }
-        )
-        scratch = ("prev_close", "gain", "loss", "tr")
-        # Also what keeps the two passes of the scan on the same columns, hence on
-        # one shared shuffle of the bars.
-        complete = " and ".join(f"{c} is not null" for c in measured.columns if c not in scratch)
+        # A row is complete if the bar is and both look-backs are. Naming every bar
+        # column also keeps the two passes of the scan on the same columns, hence on
+        # one shuffle of the bars; naming no band keeps the deviation out of the first.
+        complete = " and ".join(["bands_known", "volume_sma <> 0", *[f"{c} is not null" for c in bars.columns]])
         strength = wilder_alpha(p.rsi_length)
         scanned = scan_series(
-            measured,
+            framed,
             averages={
                 "avg_gain": ("gain", strength),
                 "avg_loss": ("loss", strength),
@@ -96,9 +89,13 @@ class BandReversal:
             ordinals={"bar_idx": complete},
             levels=("ema10", "ema20"),
         )
-        return scanned.withColumn("rsi", R.relative_strength(F.col("avg_gain"), F.col("avg_loss"))).drop(
-            *scratch, "avg_gain", "avg_loss"
+        measured = scanned.withColumns(
+            {
+                "rsi": R.relative_strength(F.col("avg_gain"), F.col("avg_loss")),
+                "rel_volume": R.relative_volume(volume, F.col("volume_sma")),
+            }
         )
+        return add_bands(measured, p.bb_std).drop("bands_known", "gain", "loss", "tr", "avg_gain", "avg_loss")
 
     def signal(self) -> Column:
         p = self.params
