@@ -99,7 +99,7 @@ def running_total(
     key: str,
     ts: str,
     tie: str,
-    bucket_seconds: int = 300,
+    bucket_seconds: int = 60,
 ) -> DataFrame:
     """Inclusive running sum of ``amount`` per ``key`` in (ts, tie) order.
 
