@@ -74,7 +74,7 @@ def test_read_bars_prunes_and_filters(spark, tmp_path):
     pushed = plan[plan.index("PushedFilters") :]
     assert "EqualTo(symbol,A)" in pushed and "GreaterThanOrEqual(Ts" in pushed
     assert "Extra" not in plan[plan.index("ReadSchema") :]
-    with pytest.raises(ValueError, match="No data"):
+    with pytest.raises(ValueError, match="no bars"):
         read_bars(spark, str(tmp_path / "bars"), symbols=["C"], strict=True)
 
 

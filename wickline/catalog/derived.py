@@ -11,6 +11,7 @@ from wickline.sources.bars import build_bars
 
 SESSION = Session()
 WIDTH = "30 minutes"
+EVENTS = "event_id bigint, ts timestamp_ntz, event_type string, value double"
 STRATEGY = ReversalParams(min_rel_volume=0.0, min_volume_sma=0.0)
 RISK = Risk(commission_per_trade=1.0)
 
@@ -18,7 +19,7 @@ RISK = Risk(commission_per_trade=1.0)
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One tick per event: the price walks by 0.01 x (value - 50) per event type.
     Decimal arithmetic, so that every engine and partitioning gives the same."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
     raw = events.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp"), "event_id", "value")
     step = F.col("value").cast("decimal(12,2)") - F.lit(50).cast("decimal(12,2)")
     walked = running_total(raw, "walk", step, key="symbol", ts="ts", tie="event_id")

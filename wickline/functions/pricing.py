@@ -18,10 +18,10 @@ def signed(side: Column, amount: Column) -> Column:
 
 
 def target_price(side: Column, entry: Column, risk: Risk) -> Column:
-    if risk.option_leverage <= 0:
-        return entry
-    move = risk.option_target_pct / risk.option_leverage
-    return F.when(is_long(side), entry * F.lit(1.0 + move)).otherwise(entry * F.lit(1.0 - move))
+    """Price at which the option return is the target; the entry itself without
+    leverage."""
+    move = risk.option_target_pct / risk.option_leverage if risk.option_leverage > 0 else 0.0
+    return entry * (1 + signed(side, F.lit(move)))
 
 
 def stop_price(side: Column, entry: Column, atr: Column, risk: Risk) -> Column:

@@ -17,11 +17,8 @@ def _looking_back(bars: DataFrame, rows: int, columns: dict[str, Column]) -> Dat
 
 
 def bollinger(bars: DataFrame, length: int = 20, width: float = 2.0) -> DataFrame:
-    close = F.col("close")
-    framed = _looking_back(
-        bars, length - 1, {"bb_basis": R.rolling_mean(close, length), "sigma": R.rolling_std(close, length)}
-    )
-    return add_bands(framed, width).drop("block")
+    named = rolling(bars, "close", length).withColumnsRenamed({"rolling_mean": "bb_basis", "rolling_std": "sigma"})
+    return add_bands(named, width)
 
 
 def add_bands(df: DataFrame, width: float) -> DataFrame:
@@ -32,9 +29,10 @@ def add_bands(df: DataFrame, width: float) -> DataFrame:
 def rolling(bars: DataFrame, value: str, length: int) -> DataFrame:
     """Rolling mean and population deviation of one column."""
     x = F.col(value)
-    return _looking_back(
-        bars, length - 1, {"rolling_mean": R.rolling_mean(x, length), "rolling_std": R.rolling_std(x, length)}
-    ).drop("block")
+    measures = {"mean": R.frame_mean(x, length), "std": R.frame_std(x, length), "full": R.is_full(x, length)}
+    framed = _looking_back(bars, length - 1, measures)
+    full = {f"rolling_{m}": R.where_full("full", m) for m in ("mean", "std")}
+    return framed.withColumns(full).drop("block", *measures)
 
 
 def changes(bars: DataFrame) -> DataFrame:
@@ -64,5 +62,5 @@ def atr(bars: DataFrame, length: int = 14) -> DataFrame:
 
 
 def relative_volume(bars: DataFrame, length: int = 20) -> DataFrame:
-    framed = _looking_back(bars, length - 1, {"volume_sma": R.rolling_mean(F.col("volume"), length)})
-    return framed.withColumn("rel_volume", R.relative_volume(F.col("volume"), F.col("volume_sma"))).drop("block")
+    averaged = rolling(bars, "volume", length).withColumnRenamed("rolling_mean", "volume_sma").drop("rolling_std")
+    return averaged.withColumn("rel_volume", R.relative_volume(F.col("volume"), F.col("volume_sma")))

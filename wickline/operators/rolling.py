@@ -29,14 +29,18 @@ def is_full(value: Column, length: int) -> Column:
     return F.count(value).over(_last(length)) == length
 
 
-def rolling_mean(value: Column, length: int) -> Column:
-    """Null unless the frame is full."""
-    return F.when(is_full(value, length), F.avg(value).over(_last(length)))
+def frame_mean(value: Column, length: int) -> Column:
+    return F.avg(value).over(_last(length))
 
 
-def rolling_std(value: Column, length: int) -> Column:
-    """Population standard deviation, null unless the frame is full."""
-    return F.when(is_full(value, length), F.stddev_pop(value).over(_last(length)))
+def frame_std(value: Column, length: int) -> Column:
+    """Population standard deviation."""
+    return F.stddev_pop(value).over(_last(length))
+
+
+def where_full(known: str, measure: str) -> Column:
+    """A frame measure, null unless its frame is full."""
+    return F.when(F.col(known), F.col(measure))
 
 
 # SQL expressions over close, high, low and prev_close. ``greatest`` skips nulls,

@@ -140,7 +140,7 @@ def real_only(trades: DataFrame, strict: bool = False) -> DataFrame:
     are none."""
     kept = trades.where(F.col("option_lookup_status") == OK)
     if strict and kept.limit(1).count() == 0:
-        raise ValueError("No trades with real option prices were found.")
+        raise ValueError("no trade has real option prices")
     return kept
 
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-from operator import and_
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -62,15 +60,25 @@ class BandReversal:
             .withColumns(
                 {
                     "prev_close": R.previous(close),
-                    "bb_basis": R.rolling_mean(close, p.bb_length),
-                    "sigma": R.rolling_std(close, p.bb_length),
                     "bands_known": R.is_full(close, p.bb_length),
-                    "volume_sma": R.rolling_mean(volume, p.volume_ma_length),
+                    "close_mean": R.frame_mean(close, p.bb_length),
+                    "close_std": R.frame_std(close, p.bb_length),
+                    "volume_known": R.is_full(volume, p.volume_ma_length),
+                    "volume_mean": R.frame_mean(volume, p.volume_ma_length),
                 }
             )
             .where(~F.col("is_history"))
-            .selectExpr("*", f"{R.GAIN} as gain", f"{R.LOSS} as loss", f"{R.TRUE_RANGE} as tr")
-            .drop("is_history", "prev_close")
+            .select(
+                *bars.columns,
+                "block",
+                "bands_known",
+                R.where_full("bands_known", "close_mean").alias("bb_basis"),
+                R.where_full("bands_known", "close_std").alias("sigma"),
+                R.where_full("volume_known", "volume_mean").alias("volume_sma"),
+                F.expr(R.GAIN).alias("gain"),
+                F.expr(R.LOSS).alias("loss"),
+                F.expr(R.TRUE_RANGE).alias("tr"),
+            )
         )
         # A row is complete if the bar is and both look-backs are. Naming every bar
         # column also keeps the two passes of the scan on the same columns, hence on
@@ -99,11 +107,9 @@ class BandReversal:
 
     def signal(self) -> Column:
         p = self.params
-        needed = ("bb_lower", "bb_upper", "rsi", "volume_sma", "rel_volume")
-        known = reduce(and_, [F.col(c).isNotNull() for c in needed])
-        busy = (F.col("rel_volume") >= float(p.min_rel_volume)) & (F.col("volume_sma") >= float(p.min_volume_sma))
-        bullish = (F.col("close") < F.col("bb_lower")) & (F.col("rsi") <= float(p.rsi_oversold))
-        bearish = (F.col("close") > F.col("bb_upper")) & (F.col("rsi") >= float(p.rsi_overbought))
-        return F.when(known & busy & bullish, make_signal("long", LONG_REASON)).when(
-            known & busy & bearish, make_signal("short", SHORT_REASON)
-        )
+        # Comparisons with null never hold; only the band not compared is named.
+        busy = f"rel_volume >= {p.min_rel_volume}D and volume_sma >= {p.min_volume_sma}D"
+        fell = f"bb_upper is not null and close < bb_lower and rsi <= {p.rsi_oversold}D"
+        rose = f"bb_lower is not null and close > bb_upper and rsi >= {p.rsi_overbought}D"
+        buy_call = F.when(F.expr(f"{busy} and {fell}"), make_signal("long", LONG_REASON))
+        return buy_call.when(F.expr(f"{busy} and {rose}"), make_signal("short", SHORT_REASON))

@@ -22,7 +22,7 @@ def normalize_columns(df: DataFrame) -> DataFrame:
     renamed = df.select([F.col(f"`{c}`").alias(c.split("|")[0].strip().lower()) for c in df.columns])
     missing = sorted(set(REQUIRED) - set(renamed.columns))
     if missing:
-        raise ValueError(f"Missing OHLCV columns: {missing}")
+        raise ValueError(f"a bar table needs the columns {missing}")
     clean = {c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in REQUIRED}
     return renamed.withColumns(clean)
 
@@ -84,7 +84,7 @@ def read_bars(
     if end is not None:
         raw = raw.where(F.col(by_name["ts"]) < F.lit(end).cast(bound_type))
     if strict and raw.limit(1).count() == 0:
-        raise ValueError("No data returned")
+        raise ValueError("no bars for these symbols and dates")
     return session_bars(raw, session)
 
 
