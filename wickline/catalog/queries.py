@@ -17,7 +17,6 @@ from wickline.operators import indicators as I
 from wickline.operators.asof import asof_prices
 from wickline.operators.blocks import with_history, with_block
 from wickline.operators.outcomes import candidate_outcomes, eligible, forward_path
-from wickline.operators.scan import span_alpha
 from wickline.operators.settle import settle
 from wickline.params import Options
 from wickline.plans import report
@@ -77,10 +76,6 @@ class Market:
         return backtest(bars, self.strategy(), RISK), listed, derived.option_bars(listed, bars)
 
 
-def _keys(df: DataFrame) -> DataFrame:
-    return df.drop("ts", "session_date")
-
-
 def bars_30m(m: Market) -> DataFrame:
     return derived.bars(m.spark, m.sf_dir)
 
