@@ -7,6 +7,8 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from wickline.catalog import oracles
+from wickline.catalog.queries import registered
 from oracle import connect, difference
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
@@ -18,12 +20,17 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registered()) == set(oracles.statements())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+def test_entry_registers_every_query():
+    assert set(registered()) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", list(registered()))
 def test_query_matches_sql(spark, con, name):
-    assert difference(spark, con, entry.queries()[name], entry.oracle_sql()[name], SF_DIR) is None
+    assert difference(spark, con, registered()[name], oracles.statements()[name], SF_DIR) is None
 
 
 def test_entry_has_both_trends(spark):
