@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wickline.llm.exact_dedup import exact_dedup
+from wickline.llm.quality import assess
 from wickline.llm.sharding import uniform_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,13 @@ def op7_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return assess(table(spark, sf_dir, "documents")).select(
+        F.col("id").cast("long").alias("doc_id"), *counts, "base_failed", "kept"
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
     return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -35,10 +43,46 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op7_uniform_shards": op7_uniform_shards,
+    "op9_line_frequency": op9_line_frequency,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 STATEMENTS: dict[str, str] = {
+    "op9_line_frequency": r"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
+        places AS (
+            SELECT doc_id, p, array_to_string(ws[p:p + 4], ' ') AS five
+            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS p FROM w WHERE len(ws) >= 5)),
+        twice AS (SELECT doc_id, p FROM places
+                  QUALIFY count(*) OVER (PARTITION BY doc_id, five) > 1),
+        covered AS (SELECT doc_id, count(DISTINCT p + k) AS n
+                    FROM twice, (SELECT unnest(range(0, 5)) AS k) GROUP BY doc_id),
+        lines AS (
+            SELECT doc_id, host, text, line,
+                   regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+') AS lw
+            FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d)),
+        full_lines AS (SELECT *, array_to_string(lw, ' ') AS normal FROM lines WHERE len(lw) > 0),
+        dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM full_lines GROUP BY doc_id),
+        common AS (
+            SELECT host, normal FROM full_lines JOIN
+                (SELECT host, count(DISTINCT text) AS of_host FROM d GROUP BY host) USING (host)
+            GROUP BY host, normal, of_host
+            HAVING count(DISTINCT text) > 100 AND count(DISTINCT text) > 0.01 * of_host),
+        cut AS (SELECT doc_id, sum(len(lw)) AS n FROM full_lines JOIN common USING (host, normal) GROUP BY doc_id),
+        counted AS (
+            SELECT doc_id, len(ws)::BIGINT AS n_words,
+                   coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+                   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+                   coalesce(dups.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+                   coalesce(cut.n, 0) AS n_cut
+            FROM w LEFT JOIN dups USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN cut USING (doc_id))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+               n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+               NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
+               AND 100 * (n_words - n_cut) >= 20 * n_words AS kept
+        FROM counted""",
     "op10_exact_dedup": """
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)
