@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wickline.llm.bpe import round_trip
 from wickline.llm.exact_dedup import exact_dedup
 from wickline.llm.quality import assess
+from wickline.llm.scratch import fresh_path
 from wickline.llm.sharding import uniform_shards
+from wickline.llm.token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = count_tokens(docs, fresh_path(spark, "token-counts"))
+    return counted.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        "n_tokens",
+        (F.col("n_tokens") > 2048).alias("over_limit"),
+    )
+
+
+def op3_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), digests=True)
+
+
 def op7_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(
         "doc_id",
@@ -42,6 +60,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_digest_cache": op2_digest_cache,
+    "op3_segment_tree_bpe": op3_segment_tree_bpe,
     "op7_uniform_shards": op7_uniform_shards,
     "op9_line_frequency": op9_line_frequency,
     "op10_exact_dedup": op10_exact_dedup,
