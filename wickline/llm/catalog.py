@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wickline.llm.bpe import round_trip
 from wickline.llm.exact_dedup import exact_dedup
+from wickline.llm.packing import pack_documents
 from wickline.llm.quality import assess
 from wickline.llm.scratch import fresh_path
 from wickline.llm.sharding import uniform_shards
@@ -36,6 +37,10 @@ def op3_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op4_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(
         "doc_id",
@@ -62,6 +67,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_digest_cache": op2_digest_cache,
     "op3_segment_tree_bpe": op3_segment_tree_bpe,
+    "op4_swap_packing": op4_swap_packing,
     "op7_uniform_shards": op7_uniform_shards,
     "op9_line_frequency": op9_line_frequency,
     "op10_exact_dedup": op10_exact_dedup,
