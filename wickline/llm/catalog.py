@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wickline.llm.bpe import round_trip
 from wickline.llm.exact_dedup import exact_dedup
+from wickline.llm.ngram_join import JaccardJoin, jaccard_components
 from wickline.llm.packing import pack_documents
 from wickline.llm.quality import assess
 from wickline.llm.scratch import fresh_path
@@ -41,6 +42,11 @@ def op4_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = JaccardJoin(width=4, percent=85)
+    return jaccard_components(table(spark, sf_dir, "documents"), rule).withColumnRenamed("id", "doc_id")
+
+
 def op7_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(
         "doc_id",
@@ -68,12 +74,30 @@ QUERIES: dict[str, Query] = {
     "op2_digest_cache": op2_digest_cache,
     "op3_segment_tree_bpe": op3_segment_tree_bpe,
     "op4_swap_packing": op4_swap_packing,
+    "op6_token_groups": op6_token_groups,
     "op7_uniform_shards": op7_uniform_shards,
     "op9_line_frequency": op9_line_frequency,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 STATEMENTS: dict[str, str] = {
+    "op6_token_groups": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                              'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+            FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(ws[p:p + 3], ' ') AS g
+            FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS p FROM w WHERE len(ws) > 0)),
+        sized AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+                 FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM pairs JOIN sized x ON a = x.doc_id JOIN sized y ON b = y.doc_id
+                  WHERE 100 * k >= 85 * (x.n + y.n - k)),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents
+                  UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+        SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+        FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOIN sized USING (doc_id)""",
     "op9_line_frequency": r"""
         WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
         w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
