@@ -15,6 +15,7 @@ from wickline.llm.quality import assess
 from wickline.llm.scratch import fresh_path
 from wickline.llm.sharding import uniform_shards
 from wickline.llm.token_counts import count_tokens
+from wickline.llm.warc import archive_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +59,11 @@ def op7_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = archive_pages(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return assess(table(spark, sf_dir, "documents")).select(
@@ -76,11 +82,19 @@ QUERIES: dict[str, Query] = {
     "op4_swap_packing": op4_swap_packing,
     "op6_token_groups": op6_token_groups,
     "op7_uniform_shards": op7_uniform_shards,
+    "op8_warc_index": op8_warc_index,
     "op9_line_frequency": op9_line_frequency,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 STATEMENTS: dict[str, str] = {
+    "op8_warc_index": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        m AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last_id FROM p)
+        SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest,
+               CASE WHEN strlen(html) >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN strlen(html) >= 1000 AND page_id <> last_id THEN last_id END AS refers_to
+        FROM m""",
     "op6_token_groups": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
