@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wickline.llm.bpe import round_trip
 from wickline.llm.exact_dedup import exact_dedup
+from wickline.llm.lattice import score_documents
 from wickline.llm.ngram_join import JaccardJoin, jaccard_components
 from wickline.llm.packing import pack_documents
 from wickline.llm.quality import assess
@@ -24,6 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = count_tokens(docs, fresh_path(spark, "token-counts"))
@@ -77,6 +82,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_subword_lattice": op1_subword_lattice,
     "op2_digest_cache": op2_digest_cache,
     "op3_segment_tree_bpe": op3_segment_tree_bpe,
     "op4_swap_packing": op4_swap_packing,
