@@ -1,14 +1,71 @@
-"""A training corpus from raw documents: STAGES in order, run() applies them all."""
+"""A training corpus from raw documents: ``STAGES`` in order, ``run`` applies them all.
+
+Each stage reads what the one before has written, works on all of it, and returns the
+columns of ``documents``; the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wickline.llm.exact_dedup import exact_dedup
+from wickline.llm.ngram_join import JaccardJoin, jaccard_components
+from wickline.llm.packing import pack_documents
+from wickline.llm.quality import apply_rules
+from wickline.llm.scratch import written
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the rules go; lines above the limits of their host go from
+    the texts of the others."""
+    return apply_rules(docs, chars_col="n_chars")
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the smallest doc_id stays; of rows that repeat it,
+    one. The join and the repeated rows are keyed by id and digest, so the copies of a
+    text are spread."""
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id_key"), F.sha2(text, 256).alias("digest"), "*")
+    kept = exact_dedup(docs.select("doc_id", "text"), keep="smallest").filter("kept")
+    kept = kept.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id_key"), F.col("text_sha256").alias("digest"))
+    stay = keyed.join(kept, ["id_key", "digest"], "left_semi").dropDuplicates(["id_key", "digest"])
+    return stay.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of linked documents the row with the smallest doc_id stays."""
+    found = jaccard_components(docs.select("doc_id", "text"), JaccardJoin())
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash"))
+    kept = found.groupBy("component").agg(first.alias("first")).select("first.id", "first.text_hash")
+    mine = F.xxhash64(F.coalesce("text", F.lit("")))
+    on = F.col("doc_id").eqNullSafe(F.col("id")) & (mine == F.col("text_hash"))
+    return docs.join(kept, on, "left_semi")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens."""
+    return pack_documents(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("exact_duplicates", exact_duplicates),
+    ("near_duplicates", near_duplicates),
+    ("packing", packing),
+]
 
+#: SQL doesn't express the packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -50,7 +50,8 @@ def op4_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = JaccardJoin(width=4, percent=85)
-    return jaccard_components(table(spark, sf_dir, "documents"), rule).withColumnRenamed("id", "doc_id")
+    found = jaccard_components(table(spark, sf_dir, "documents"), rule)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
 def op7_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -320,7 +320,8 @@ def _matrix_step(shared: DataFrame, nodes: DataFrame, linked: DataFrame, rows: D
 
 def jaccard_components(df: DataFrame, rule: JaccardJoin = JaccardJoin(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``df``: ``id``, ``n_shingles`` and ``component_id``, the smallest id
-    reachable by links (its own included).
+    reachable by links (its own included); and for joins back to ``df`` the 64-bit hash
+    of its text and ``component``, a number that is never null.
 
     Equal sets are one node. Each node sends the rarest shingles of its set, and only
     those that two nodes share go on. First every node is compared with one pivot;
@@ -356,6 +357,12 @@ def jaccard_components(df: DataFrame, rule: JaccardJoin = JaccardJoin(), id_col:
         linked = written(components(links.union(more)), "components")
     placed = same.join(linked, "node", "left").select("digest", "least_id", F.coalesce("component", "node").alias("component"))
     smallest = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of_set = placed.join(smallest, "component").select("digest", "component_id")
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return profiles.join(of_set, "digest", "left").select("id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    of_set = placed.join(smallest, "component").select("digest", "component_id", "component")
+    has = F.col("n") > 0
+    return profiles.join(of_set, "digest", "left").select(
+        "id",
+        F.col("n").alias("n_shingles"),
+        F.when(has, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+        "text_hash",
+        F.when(has, F.col("component")).otherwise(F.col("row_id")).alias("component"),
+    )
