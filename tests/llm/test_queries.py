@@ -1,0 +1,57 @@
+"""The registered queries against their SQL, and the pipeline against brute force."""
+
+from __future__ import annotations
+
+import os
+import random
+
+import pytest
+
+import corpus_pipeline
+from oracle import connect, difference
+from wickline.llm import catalog
+
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+
+
+def test_ten_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == [1, 2, 3, 4, 6, 7, 8, 9, 10]
+    assert set(catalog.STATEMENTS) <= set(catalog.QUERIES)
+
+
+@pytest.mark.parametrize("name", list(catalog.STATEMENTS))
+def test_query_matches_sql(spark, name):
+    assert difference(spark, connect(SF_DIR), catalog.QUERIES[name], catalog.STATEMENTS[name], SF_DIR) is None
+
+
+def test_pipeline_stages(spark, make_docs):
+    from test_ngram_join import brute_force
+
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(500)]
+    texts = []
+    for _ in range(25):
+        base = [rng.choice(words) for _ in range(rng.randint(12, 120))]
+        for _ in range(rng.choice([1, 2, 4])):
+            copy = list(base)
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+    texts += texts[:10] + ["too short", None, "", "a b c d e " * 9]
+    rows = list(enumerate(texts)) + [(0, texts[0])]
+    docs = make_docs(rows)
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "").cache()
+        out[name] = docs.collect()
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    good = [(i, t) for i, t in rows if i < len(texts) - 4]
+    assert sorted((r.doc_id, r.text) for r in out["quality_rules"]) == sorted(good)
+    first = {}
+    for i, t in good:
+        first[t] = min(i, first.get(t, i))
+    assert sorted((r.doc_id, r.text) for r in out["exact_duplicates"]) == sorted((i, t) for t, i in first.items())
+    left = sorted((i, t) for t, i in first.items())
+    kept = {c for _, _, c in brute_force(left, 5, 80)}
+    assert sorted(r.doc_id for r in out["near_duplicates"]) == sorted(kept)
+    assert {r.doc_id for r in out["packing"]} == kept
