@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -13,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wickline.llm import words as W
 from wickline.llm.components import components
@@ -22,6 +22,7 @@ SHINGLE_BYTES = 4 << 20
 RANGE = 1 << 14
 FILTER_WORDS = 1 << 16
 STAR = 500
+STARS = 3
 
 
 @dataclass(frozen=True)
@@ -205,11 +206,6 @@ def _sets_of(rows: DataFrame, asked: DataFrame, rule: JaccardJoin) -> DataFrame:
     return found.mapInArrow(_blobs(rule.width), schema)
 
 
-def _enough(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
 def _star_links(percent: int):
     """Rows sorted by star, its pivot first: the members that link with it."""
 
@@ -228,14 +224,34 @@ def _star_links(percent: int):
     return run
 
 
-def _pair_links(percent: int):
+def _short_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets with the sorted first 16 bits of their shingles. Equal shingles have equal
+    bits, so short forms share at least as many items as the sets do."""
+    for batch in batches:
+        short = [(np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(48)).astype(np.uint16).tobytes() for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(short, pa.binary())], names=["node", "set", "short"])
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Items of two sorted arrays in common, repeated ones as often as in both."""
+    if a.dtype == np.uint64:
+        return len(np.intersect1d(a, b, assume_unique=True))
+    items, n = np.unique(a, return_counts=True)
+    others, m = np.unique(b, return_counts=True)
+    _, i, j = np.intersect1d(items, others, assume_unique=True, return_indices=True)
+    return int(np.minimum(n[i], m[j]).sum())
+
+
+def _enough(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = _common(a, b)
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _pair_links(percent: int, kind: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column(2), batch.column(3)
-            good = [
-                _enough(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), percent)
-                for a, b in zip(left, right)
-            ]
+            sets = [[np.frombuffer(x.as_buffer(), kind) for x in batch.column(k)] for k in (2, 3)]
+            good = [_enough(a, b, percent) for a, b in zip(*sets)]
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     return run
@@ -244,14 +260,25 @@ def _pair_links(percent: int):
 # ----------------------------------------------------------------------- the join
 
 
+def _needed(t: float, a: Column, b: Column) -> Column:
+    """Least number of shingles that the prefixes of two linked sets of these sizes
+    share: what the overlap needs, less what may lie behind the prefixes."""
+    return t / (1 + t) * (a + b) - t * F.greatest(a + 0.0, b + 0.0) - 1e-6
+
+
 def _star_step(shared: DataFrame, nodes: DataFrame, rows: DataFrame, rule: JaccardJoin) -> DataFrame:
-    """Links of each node to one other: the smallest node of the shingle it shares most
-    of its prefix through. Linear in the nodes whatever the size of a group of copies;
-    large stars are split, with the pivot in every part."""
-    pivots = shared.groupBy("token").agg(F.min("node").alias("pivot"))
-    votes = shared.join(pivots, "token").filter("node <> pivot").groupBy("node", "pivot").count()
-    best = votes.groupBy("node").agg(F.max_by("pivot", F.struct("count", -F.col("pivot"))).alias("pivot"))
-    best = written(best, "stars")
+    """Links of each node to a few others: in each of ``STARS`` random orders of the
+    nodes, to the first node of the shingles it shares most of its prefix through.
+    Linear in the nodes whatever the size of a group of copies; large stars are split,
+    with the pivot in every part. It loses links, the matrix finds them."""
+    orders = [F.min_by("node", F.xxhash64(F.lit(r), "node")) for r in range(STARS)]
+    pivots = shared.groupBy("token").agg(F.array(*orders).alias("pivots"))
+    seen = shared.join(pivots, "token").select("node", "n", F.posexplode("pivots").alias("order", "pivot")).filter("node <> pivot")
+    votes = seen.groupBy("node", "n", "order", "pivot").count()
+    sizes = nodes.select(F.col("node").alias("pivot"), F.col("n").alias("pivot_n"))
+    near = votes.join(sizes, "pivot").filter(F.col("count") >= _needed(rule.percent / 100, F.col("n"), F.col("pivot_n")))
+    best = near.groupBy("node", "order").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot"))
+    best = written(best.select("node", "pivot").distinct(), "stars")
     parts = best.groupBy("pivot").agg(F.expr(f"cast(ceil(count(*) / {STAR}) as int)").alias("parts"))
     places = (
         best.join(parts, "pivot")
@@ -266,8 +293,8 @@ def _star_step(shared: DataFrame, nodes: DataFrame, rows: DataFrame, rule: Jacca
     )
 
 
-def _matrix_step(shared: DataFrame, nodes: DataFrame, linked: DataFrame, rows: DataFrame, rule: JaccardJoin) -> DataFrame | None:
-    """Links between nodes of different components, by the token-group matrix."""
+def _matrix_step(shared: DataFrame, linked: DataFrame, rule: JaccardJoin) -> DataFrame:
+    """Pairs of nodes of different components that may link, by the token-group matrix."""
     sized = shared.join(linked, "node", "left").select(
         "token", "node", "n", F.coalesce("component", "node").alias("component")
     )
@@ -296,28 +323,50 @@ def _matrix_step(shared: DataFrame, nodes: DataFrame, linked: DataFrame, rows: D
         .agg(F.count("*").alias("shared"))
     )
 
-    def needed(size: Column) -> Column:
-        """Least number of shared prefix shingles for a link with a set of this size."""
-        return t / (1 + t) * (F.col("qn") + size) - t * F.greatest(F.col("qn") + 0.0, size)
-
     ends = F.greatest(F.col("lo") + 0.0, F.col("qn") * t), F.least(F.col("hi") + 0.0, F.col("qn") / t)
-    opened = overlap.filter(F.col("shared") >= F.least(*map(needed, ends)) - 1e-6).select("q", "qn", "component", "chunk")
+    least = F.least(*[_needed(t, F.col("qn"), end) for end in ends])
+    opened = overlap.filter(F.col("shared") >= least).select("q", "qn", "component", "chunk")
     both = (F.col("n") * rule.percent <= F.col("qn") * 100) & (F.col("qn") * rule.percent <= F.col("n") * 100)
-    pairs = opened.join(grouped, ["component", "chunk"]).filter(both).select(F.col("q").alias("u"), F.col("node").alias("v"))
-    pairs = written(pairs, "pairs")
-    if pairs.isEmpty():
-        return None
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    asked = nodes.select("node", "id", "text_hash").join(wanted, "node", "left_semi")
-    sets = written(_sets_of(rows, asked, rule), "sets")
+    return opened.join(grouped, ["component", "chunk"]).filter(both).select(F.col("q").alias("u"), F.col("node").alias("v"))
+
+
+def _compare(pairs: DataFrame, sets: DataFrame, column: str, percent: int, kind: type) -> DataFrame:
+    """The pairs whose sets, or the short forms in ``column``, overlap enough."""
     return (
-        pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("u_set")), "u")
-        .join(sets.select(F.col("node").alias("v"), F.col("set").alias("v_set")), "v")
+        pairs.join(sets.select(F.col("node").alias("u"), F.col(column).alias("u_set")), "u")
+        .join(sets.select(F.col("node").alias("v"), F.col(column).alias("v_set")), "v")
         .select("u", "v", "u_set", "v_set")
-        .mapInArrow(_pair_links(rule.percent), "u long, v long")
+        .mapInArrow(_pair_links(percent, kind), "u long, v long")
     )
 
 
+def _settled(pairs: DataFrame, links: DataFrame, linked: DataFrame, nodes: DataFrame, rows: DataFrame, rule: JaccardJoin) -> DataFrame:
+    """Components after all ``pairs`` are decided.
+
+    Short forms of two bytes a shingle bound the overlap from above and drop pairs that
+    can't link. Of the others each node compares a few with its full set, then those
+    that its component has meanwhile met go, and so on with twice as many until no
+    pair is left. So what is compared in full follows the nodes, not the pairs of a
+    large group of near copies."""
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    asked = nodes.select("node", "id", "text_hash").join(wanted, "node", "left_semi")
+    schema = "node long, set binary, short binary"
+    sets = written(_sets_of(rows, asked, rule).mapInArrow(_short_forms, schema), "sets")
+    left, tries = written(_compare(pairs, sets, "short", rule.percent, np.uint16), "pairs"), 1
+    while not left.isEmpty():
+        order = F.row_number().over(Window.partitionBy("u").orderBy(F.xxhash64("v"), "v"))
+        numbered = written(left.withColumn("at", order), "turns")
+        found = _compare(numbered.filter(F.col("at") <= tries).drop("at"), sets, "set", rule.percent, np.uint64)
+        links = written(links.union(found), "links")
+        linked = written(components(links), "components")
+        own = linked.toDF("of", "component")
+        rest = numbered.filter(F.col("at") > tries).select("u", "v")
+        rest = rest.join(own.toDF("u", "cu"), "u", "left").join(own.toDF("v", "cv"), "v", "left")
+        left = written(rest.filter(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v"), "pairs")
+        tries *= 2
+    return linked
+
+
 def jaccard_components(df: DataFrame, rule: JaccardJoin = JaccardJoin(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``df``: ``id``, ``n_shingles`` and ``component_id``, the smallest id
     reachable by links (its own included); and for joins back to ``df`` the 64-bit hash
@@ -346,15 +395,14 @@ def jaccard_components(df: DataFrame, rule: JaccardJoin = JaccardJoin(), id_col:
     same = profiles.filter("n > 0").groupBy("digest").agg(F.min("row_id").alias("node"), F.min("id").alias("least_id"))
     same = written(same, "nodes")
     first = profiles.join(same.select("node"), F.col("row_id") == F.col("node"), "left_semi")
-    nodes = first.select(F.col("row_id").alias("node"), "id", "text_hash")
+    nodes = first.select(F.col("row_id").alias("node"), "id", "text_hash", "n")
     tokens = first.select(F.explode("prefix").alias("token"), F.col("row_id").alias("node"), "n")
     twice = tokens.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("token")
     shared = written(tokens.join(twice, "token", "left_semi"), "shared")
     links = written(_star_step(shared, nodes, rows, rule), "links")
     linked = written(components(links), "components")
-    more = _matrix_step(shared, nodes, linked, rows, rule)
-    if more is not None:
-        linked = written(components(links.union(more)), "components")
+    pairs = written(_matrix_step(shared, linked, rule), "pairs")
+    linked = _settled(pairs, links, linked, nodes, rows, rule)
     placed = same.join(linked, "node", "left").select("digest", "least_id", F.coalesce("component", "node").alias("component"))
     smallest = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
     of_set = placed.join(smallest, "component").select("digest", "component_id", "component")
