@@ -228,16 +228,12 @@ def _spell(name: str, shared_model):
     return run
 
 
-def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, word) of the words in each block of a batch."""
-    for batch in batches:
-        for part, texts in W.pieces(batch, "text"):
-            found = W.words(pc.ascii_lower(texts))
-            of = part.column(0).to_numpy(zero_copy_only=False)[found.owner].astype(np.int64)
-            width = max(len(found.values), 1)
-            block, code = np.divmod(np.unique(of * width + found.codes), width)
-            names = found.values.cast(pa.string()).take(pa.array(code))
-            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), names], names=["block", "word"])
+def _block_words(docs: pa.Table) -> pa.Table:
+    """(block, word) of the distinct words of one block."""
+    parts = [W.words(pc.ascii_lower(texts)).values.cast(pa.string()) for batch in docs.to_batches() for _, texts in W.pieces(batch, "text")]
+    words = pa.chunked_array(parts, pa.string()).unique()
+    block = pa.array(np.full(len(words), docs.column("block")[0].as_py()), pa.int32())
+    return pa.table([block, words], names=["block", "word"])
 
 
 def _score_block(shared_model, all_tokens: int, all_distinct: int, end_count: int):
@@ -319,8 +315,8 @@ def score_documents(
     trained = rows.filter("not held_out")
     least = trained.count() * MIN_CLASS_SHARE
     classes = sorted(r.label for r in trained.groupBy("label").count().filter(F.col("count") >= least).collect())
-    labels = [*classes, None]  # the last is for the values that are too rare
-    k = len(labels)
+    labels = [*classes, None] if trained.filter(~F.col("label").isin(classes)).limit(1).count() or not classes else classes
+    k = len(labels)  # None, the last, is for the values that are too rare
     number = F.lit(k - 1)
     for i, label in enumerate(classes):
         number = F.when(F.col("label") == label, F.lit(i)).otherwise(number)
@@ -363,10 +359,11 @@ def score_documents(
 
     scored = vocabulary.mapInArrow(_spell(tokenizer, shared), "word string, c long, scores array<float>")
     block = F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")
-    placed = rows.select(block.alias("block"), "id", "held_out", "text").repartition("block")
-    wanted = placed.select("block", "text").mapInArrow(_distinct_words, "block int, word string").distinct()
+    # Both readers take the same columns by the same key, so the texts move once.
+    placed = rows.select(block.alias("block"), "id", "held_out", "text").groupBy("block")
+    wanted = placed.applyInArrow(_block_words, "block int, word string")
     lines = wanted.join(scored, "word").select("block", "word", "c", "scores")
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     run = _score_block(shared, all_tokens, all_distinct, train_docs)
-    return placed.groupBy("block").cogroup(lines.groupBy("block")).applyInArrow(run, schema).withColumnRenamed("id", id_col)
+    return placed.cogroup(lines.groupBy("block")).applyInArrow(run, schema).withColumnRenamed("id", id_col)
