@@ -7,6 +7,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def near_stored_dates(quotes: DataFrame, moments: DataFrame) -> DataFrame:
+    """Quotes stored under a date within a day of some moment's local date. The dates
+    are a calendar, so their broadcast is bounded, and the scan of a table that is
+    partitioned by them is pruned at run time."""
+    near = F.explode(F.array(*[F.date_add("session_date", k) for k in (-1, 0, 1)]))
+    dates = moments.where("session_date >= DATE'0001-01-02'").select(near.alias("stored_date")).distinct()
+    return quotes.join(F.broadcast(dates), "stored_date", "left_semi")
+
+
 def asof_prices(lookups: DataFrame, quotes: DataFrame) -> DataFrame:
     """``entry_quote``, ``exit_quote`` and ``quoted`` (any quote at all) for
     look-ups (symbol, entry_time, exit_time, ticker, first_date, last_date).
@@ -27,6 +36,8 @@ def asof_prices(lookups: DataFrame, quotes: DataFrame) -> DataFrame:
             )
         ).alias("moment"),
     ).select("ticker", "session_date", F.col("moment.ts").alias("ts"), "symbol", "entry_time", "moment.leg")
+    if "stored_date" in quotes.columns:
+        quotes = near_stored_dates(quotes, moments)
     marked = quotes.select("ticker", "session_date", "ts", F.struct("ts", "close").alias("quote"))
     days = ["ticker", "session_date"]
     relevant = marked.join(moments.select(*days).distinct(), days, "left_semi")

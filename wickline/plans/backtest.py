@@ -10,6 +10,7 @@ from wickline.operators.blocks import with_block, with_ordinal
 from wickline.operators.outcomes import candidate_outcomes, non_overlapping
 from wickline.params import Risk
 from wickline.plans.strategy import Strategy
+from wickline.sources.bars import nan_to_null
 
 TRADE_COLUMNS = (
     "symbol",
@@ -40,8 +41,9 @@ TRADE_COLUMNS = (
 
 
 def indexed_bars(bars: DataFrame, strategy: Strategy) -> DataFrame:
-    """Prepared bars without incomplete rows, numbered per symbol."""
-    complete = strategy.prepare(bars).dropna()
+    """Prepared bars without incomplete rows, numbered per symbol. NaN is missing, in
+    the numbering as in the rows kept."""
+    complete = strategy.prepare(nan_to_null(bars)).dropna()
     if "block" not in complete.columns:
         complete = with_block(complete)
     if "bar_idx" in complete.columns:

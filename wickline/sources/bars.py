@@ -47,6 +47,25 @@ def drop_incomplete_bars(df: DataFrame) -> DataFrame:
     return df.dropna(subset=list(PRICES))
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """One kind of missing value in the numbers of a bar."""
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: F.nanvl(F.col(c), F.lit(None)) for c in REQUIRED if kinds.get(c) in ("double", "float")})
+
+
+def unique_bars(bars: DataFrame) -> DataFrame:
+    """One bar per (symbol, ts). Repeated ones are taken as sights of the same bar:
+    highest high and close, lowest low and open, largest volume. The values are
+    combined before the shuffle, and don't depend on the order of rows."""
+    pick = {"open": F.min, "high": F.max, "low": F.min, "close": F.max, "volume": F.max}
+    merged = bars.groupBy("symbol", "ts").agg(
+        F.min("local_ts").alias("local_ts"),
+        F.min("session_date").alias("session_date"),
+        *[pick[c](c).alias(c) for c in REQUIRED],
+    )
+    return merged.select(*BAR_COLUMNS)
+
+
 def session_bars(df: DataFrame, session: Session) -> DataFrame:
     """Raw bar table to session bars with exactly the columns of a bar."""
     local = localize(normalize_columns(df), session.timezone)
@@ -54,6 +73,16 @@ def session_bars(df: DataFrame, session: Session) -> DataFrame:
     return drop_incomplete_bars(inside).select(*BAR_COLUMNS)
 
 
+def near_dates(raw: DataFrame, name: str, start: str | None, end: str | None) -> DataFrame:
+    """Rows whose stored date is at most a day off [start, end]: a coarse cut that
+    partition pruning understands, whatever zone the dates were made in."""
+    if start is not None:
+        raw = raw.where(F.col(name) >= F.date_sub(F.lit(start).cast("date"), 1))
+    if end is not None:
+        raw = raw.where(F.col(name) <= F.date_add(F.lit(end).cast("date"), 1))
+    return raw
+
+
 def read_bars(
     spark: SparkSession,
     path: str,
@@ -64,12 +93,15 @@ def read_bars(
     fmt: str = "parquet",
     schema: str | None = None,
     strict: bool = False,
+    unique: bool = True,
 ) -> DataFrame:
     """Session bars of the given symbols with ts in [start, end).
 
-    The predicates on symbol and ts reach the scan. ``strict`` runs a one-row
-    probe and raises if nothing is there; it is off by default because a probe
-    is a Spark job of its own.
+    The predicates on symbol and ts reach the scan; a stored ``session_date`` also
+    prunes partitions, with a day to spare on both sides. Repeated bars of a symbol
+    and time are merged, unless the caller knows that there are none and saves the
+    shuffle with ``unique=False``. ``strict`` runs a one-row probe and raises if
+    nothing is there; it is off by default because a probe is a Spark job of its own.
     """
     reader = spark.read.schema(schema) if schema else spark.read
     if fmt == "csv":
@@ -78,6 +110,8 @@ def read_bars(
     by_name = {c.lower(): c for c in raw.columns}
     if symbols is not None:
         raw = raw.where(F.col(by_name["symbol"]).isin(*symbols))
+    if "session_date" in by_name:
+        raw = near_dates(raw, by_name["session_date"], start, end)
     bound_type = dict(raw.dtypes)[by_name["ts"]]
     if start is not None:
         raw = raw.where(F.col(by_name["ts"]) >= F.lit(start).cast(bound_type))
@@ -85,7 +119,8 @@ def read_bars(
         raw = raw.where(F.col(by_name["ts"]) < F.lit(end).cast(bound_type))
     if strict and raw.limit(1).count() == 0:
         raise ValueError("no bars for these symbols and dates")
-    return session_bars(raw, session)
+    bars = session_bars(raw, session)
+    return unique_bars(bars) if unique else bars
 
 
 def build_bars(
@@ -101,13 +136,23 @@ def build_bars(
     One aggregation with map-side combine: what is shuffled is one partial row
     per bar and input partition, however many ticks a symbol or a bar has.
     ``order`` decides which tick is first and last; ``volume`` is the number of
-    ticks unless given.
+    ticks unless given. A missing or NaN size counts nothing, a tick without a price
+    isn't one. The hour that the clocks repeat gives bars of its own for widths up
+    to an hour; wider bars span it.
     """
     price_col = F.col(price) if isinstance(price, str) else price
     order_col = F.col(order) if isinstance(order, str) else order
-    size = F.count(F.lit(1)).cast("double") if volume is None else F.sum(volume).cast("double")
-    inside = session_filter(localize(ticks, session.timezone), session.start, session.end)
-    bars = inside.groupBy("symbol", F.window("local_ts", width).alias("bar")).agg(
+    size = F.count(F.lit(1)).cast("double")
+    if volume is not None:
+        size = F.sum(F.nanvl(volume.cast("double"), F.lit(None)))
+    priced = ticks.where(price_col.isNotNull() & ~F.isnan(price_col.cast("double")))
+    inside = session_filter(localize(priced, session.timezone), session.start, session.end)
+    bar = F.window("local_ts", width)
+    offset = F.unix_seconds(F.col("local_ts").cast("timestamp")) - F.unix_seconds("ts")
+    windowed = inside.withColumn("bar", bar).withColumn(
+        "shift", F.when(F.col("bar.end") - F.col("bar.start") <= F.expr("interval 1 hour"), offset)
+    )
+    bars = windowed.groupBy("symbol", "bar", "shift").agg(
         F.min("ts").alias("first_ts"),
         F.min("local_ts").alias("first_local"),
         F.min_by(price_col, order_col).alias("open"),

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wickline.functions.clock import require_utc, utc_instant, wall_clock
+from wickline.sources.bars import near_dates
 
 LISTING_DAYS = 14
 
@@ -62,19 +65,51 @@ def read_option_chain(
 
 
 def _quotes(df: DataFrame, ts: Column, close: Column, timezone: str) -> DataFrame:
+    """(ticker, ts, close, session_date); a date that the table stores (it may be a
+    partition column) is kept as ``stored_date``, by which look-ups prune."""
     require_utc(df.sparkSession)
-    instant = df.select(F.col("ticker"), ts.alias("ts"), close.cast("double").alias("close"))
+    stored = [F.col("session_date").cast("date").alias("stored_date")] if "session_date" in df.columns else []
+    instant = df.select(F.col("ticker"), ts.alias("ts"), close.cast("double").alias("close"), *stored)
     return instant.withColumn("session_date", F.to_date(wall_clock(F.col("ts"), timezone)))
 
 
-def read_option_bars_agg(raw: DataFrame, timezone: str) -> DataFrame:
-    """Service layout: ``t`` is epoch milliseconds, ``c`` the close."""
-    return _quotes(raw, F.timestamp_millis("t"), F.nanvl(F.col("c").cast("double"), F.lit(None)), timezone)
+def _within(raw: DataFrame, tickers: Iterable[str] | None, start: str | None, end: str | None) -> DataFrame:
+    """Coarse cut that reaches the scan: tickers, and stored dates within a day of [start, end]."""
+    if tickers is not None:
+        raw = raw.where(F.col("ticker").isin(*tickers))
+    return near_dates(raw, "session_date", start, end) if "session_date" in raw.columns else raw
+
 
+def _between(quotes: DataFrame, start: str | None, end: str | None) -> DataFrame:
+    """Quotes of the local dates [start, end], exactly."""
+    if start is not None:
+        quotes = quotes.where(F.col("session_date") >= F.lit(start).cast("date"))
+    return quotes if end is None else quotes.where(F.col("session_date") <= F.lit(end).cast("date"))
 
-def read_option_bars_ohlc(raw: DataFrame, timezone: str) -> DataFrame:
+
+def read_option_bars_agg(
+    raw: DataFrame, timezone: str, tickers: Iterable[str] | None = None, start: str | None = None, end: str | None = None
+) -> DataFrame:
+    """Service layout: ``t`` is epoch milliseconds, ``c`` the close. ``start`` and
+    ``end`` are local dates, both inclusive; they bound ``t`` with a day to spare
+    before they are applied exactly."""
+    near = _within(raw, tickers, start, end)
+    day = 86_400_000
+    if start is not None:
+        near = near.where(F.col("t") >= F.unix_date(F.lit(start).cast("date")).cast("long") * day - day)
+    if end is not None:
+        near = near.where(F.col("t") < F.unix_date(F.lit(end).cast("date")).cast("long") * day + 2 * day)
+    quotes = _quotes(near, F.timestamp_millis("t"), F.nanvl(F.col("c").cast("double"), F.lit(None)), timezone)
+    return _between(quotes, start, end)
+
+
+def read_option_bars_ohlc(
+    raw: DataFrame, timezone: str, tickers: Iterable[str] | None = None, start: str | None = None, end: str | None = None
+) -> DataFrame:
     """Bar layout: named columns in any case; without a close column, no rows."""
     df = raw.select([F.col(f"`{c}`").alias(c.split("|")[0].strip().lower()) for c in raw.columns])
+    near = _within(df, tickers, start, end)
     if "close" not in df.columns:
-        return _quotes(df, utc_instant(F.col("ts")), F.lit(None), timezone).limit(0)
-    return _quotes(df, utc_instant(F.col("ts")), F.nanvl(F.col("close").cast("double"), F.lit(None)), timezone)
+        return _quotes(near, utc_instant(F.col("ts")), F.lit(None), timezone).limit(0)
+    quotes = _quotes(near, utc_instant(F.col("ts")), F.nanvl(F.col("close").cast("double"), F.lit(None)), timezone)
+    return _between(quotes, start, end)
