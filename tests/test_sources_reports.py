@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from conftest import clock, flat
 from test_options import TRADES, at, trade
-from wickline.functions.text import two_decimals
+from wickline.functions.text import thousands, two_decimals
 from wickline.operators.blocks import running_total
 from wickline.params import Session
 from wickline.plans import report
@@ -149,6 +149,7 @@ def test_trade_log_files(spark, tmp_path):
     body = [line for line in lines if line != LOG]
     assert [int(line[0]) for line in body] == list(range(1, 9))
     assert [line[4] for line in body[:4]] == ["A-SIM-C", "B-SIM-C", "A-SIM-P", "B-SIM-P"]
+    assert (body[0][1], body[0][2]) == ("2024-03-04 10:00:00-05:00", "2024-03-04 10:15:00-05:00")
     report.write_trade_log(made, str(tmp_path / "each"))
     for symbol in "AB":
         files = sorted(glob.glob(str(tmp_path / f"each/symbol={symbol}/*.csv")))
@@ -171,9 +172,17 @@ def test_two_decimals_like_printf(spark):
     rng = random.Random(1)
     values = [0.0, -0.0, 0.005, 1.005, 2.675, 0.125, 0.375, -0.125, -2.5, 99.995, 99.999, 1e6 + 0.005, 312.435, -0.001]
     values += [round(rng.uniform(-500, 500), 3) for _ in range(2000)] + [rng.uniform(-2, 2) for _ in range(500)]
+    values += [1e15 + 0.37, 2.0**53, 1e19, -1e22, 0.995, 9.995, 999.995]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    got = df.select("v", two_decimals(F.col("v")).alias("s")).collect()
-    assert [(r.v, r.s) for r in got if r.s != f"{r.v + 0.0:.2f}"] == []
+    got = df.select("v", two_decimals(F.col("v")).alias("s"), thousands(F.col("v")).alias("t")).collect()
+    assert [(r.v, r.s) for r in got if r.s != f"{r.v:.2f}"] == []
+    assert [(r.v, r.t) for r in got if r.t != f"{r.v:,.2f}"] == []
+
+
+def test_display_summary(spark):
+    made = spark.createDataFrame([trade(idx=i, entry=at(10, i)) for i in range(3)], TRADES).withColumn("pnl_usd", F.lit(-411_522.005))
+    (r,) = report.display_summary(made).collect()
+    assert (r.total, r.net_pnl, r.win_rate) == ("3", f"${3 * -411_522.005:,.2f}", "0.00%")
 
 
 @pytest.mark.parametrize(

@@ -4,6 +4,7 @@ global windows, list folds, pairwise joins and a recursive walk over the trades.
 from __future__ import annotations
 
 from wickline.catalog.rounding import decimals
+from wickline.plans.strategy import LONG_REASON, SHORT_REASON
 
 
 def _ewm(x: str, alpha: str) -> str:
@@ -126,9 +127,6 @@ def _summary(source: str, by: str) -> str:
         from {source} {group}"""
 
 
-LONG_REASON = "close_below_lower_bb_rsi_oversold_volume_confirmed"
-SHORT_REASON = "close_above_upper_bb_rsi_overbought_volume_confirmed"
-
 # Named intermediate results, each over the ones before it.
 STEPS: dict[str, str] = {
     "ticks": """

@@ -218,7 +218,8 @@ def contracts_candidates(m: Market) -> DataFrame:
 def _rank_k(otm_steps: int) -> Callable[[Market], DataFrame]:
     def query(m: Market) -> DataFrame:
         made, listed, _ = m.options()
-        return C.pick_contract(_requests(made), read_option_contracts(listed), otm_steps)
+        found = C.pick_contract(_requests(made), read_option_contracts(listed), otm_steps)
+        return found.select("symbol", "entry_time", "expiration", "strike", "ticker")
 
     return query
 
@@ -239,7 +240,8 @@ def _kth_strike(otm_steps: int) -> Callable[[Market], DataFrame]:
     def query(m: Market) -> DataFrame:
         made, listed, _ = m.options()
         chain = read_option_chain(derived.option_chain(listed))
-        return C.kth_otm_strike(_chain_requests(made, chain), chain, otm_steps)
+        found = C.kth_otm_strike(_chain_requests(made, chain), chain, otm_steps)
+        return found.select("symbol", "entry_time", "expiration", "strike", "contract")
 
     return query
 

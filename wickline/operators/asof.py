@@ -16,9 +16,10 @@ def near_stored_dates(quotes: DataFrame, moments: DataFrame) -> DataFrame:
     return quotes.join(F.broadcast(dates), "stored_date", "left_semi")
 
 
-def asof_prices(lookups: DataFrame, quotes: DataFrame) -> DataFrame:
+def asof_prices(lookups: DataFrame, quotes: DataFrame, key: tuple[str, ...] = ("symbol", "entry_time")) -> DataFrame:
     """``entry_quote``, ``exit_quote`` and ``quoted`` (any quote at all) for
-    look-ups (symbol, entry_time, exit_time, ticker, first_date, last_date).
+    look-ups (symbol, entry_time, exit_time, ticker, first_date, last_date), one per
+    value of ``key``.
 
     Quotes and moments are merged in time order per (ticker, date), so that each
     moment sees its neighbours by two running windows: no pairs are formed, and a
@@ -27,15 +28,14 @@ def asof_prices(lookups: DataFrame, quotes: DataFrame) -> DataFrame:
     moments = lookups.select(
         "ticker",
         F.explode(F.sequence("first_date", "last_date")).alias("session_date"),
-        "symbol",
-        "entry_time",
+        *key,
         F.explode(
             F.array(
                 F.struct(F.lit("entry").alias("leg"), F.col("entry_time").alias("ts")),
                 F.struct(F.lit("exit").alias("leg"), F.col("exit_time").alias("ts")),
             )
         ).alias("moment"),
-    ).select("ticker", "session_date", F.col("moment.ts").alias("ts"), "symbol", "entry_time", "moment.leg")
+    ).select("ticker", "session_date", F.col("moment.ts").alias("ts"), *key, "moment.leg")
     if "stored_date" in quotes.columns:
         quotes = near_stored_dates(quotes, moments)
     marked = quotes.select("ticker", "session_date", "ts", F.struct("ts", "close").alias("quote"))
@@ -50,7 +50,7 @@ def asof_prices(lookups: DataFrame, quotes: DataFrame) -> DataFrame:
     back = F.last("quote", ignorenulls=True).over(day.orderBy(F.asc("ts"), is_moment).rowsBetween(*so_far))
     ahead = F.last("quote", ignorenulls=True).over(day.orderBy(F.desc("ts"), is_moment).rowsBetween(*so_far))
     seen = merged.withColumns({"back": back, "ahead": ahead}).where("quote is null")
-    return seen.groupBy("symbol", "entry_time").agg(
+    return seen.groupBy(*key).agg(
         *[
             F.expr(
                 f"coalesce(min(ahead) filter (where leg = '{leg}'), max(back) filter (where leg = '{leg}')).close"

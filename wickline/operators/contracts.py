@@ -33,7 +33,10 @@ def _steps(otm_steps: int, available: Column) -> Column:
     return F.least(F.lit(max(otm_steps - 1, 0)), available - 1)
 
 
-REQUEST = ("symbol", "entry_time", "contract_type", "as_of", "spot", "wanted")
+# What a look-up depends on. Trades that agree in it (of two strategies, say) share one
+# look-up; those that differ, in the side at one bar for instance, have their own.
+KEY = ("symbol", "entry_time", "exit_time", "contract_type", "as_of", "spot")
+REQUEST = (*KEY, "wanted")
 
 
 def with_request(trades: DataFrame, dte_days: int, timezone: str) -> DataFrame:
@@ -52,13 +55,15 @@ def _ranked(contracts: DataFrame, requests: DataFrame, keys: list[str], label: s
     """Contracts and requests of one group in strike order: ``place`` counts the
     contracts up to a row, ``listed`` those of the group. A contract at the spot
     comes after the request, so it still qualifies."""
+    kinds = dict(requests.dtypes)
+    carried = [c for c in REQUEST if c not in keys]
     offered = contracts.select(
         *keys, _signed(F.col("contract_type"), F.col("strike")).alias("at"), F.lit(1).alias("is_contract"), label,
-        F.lit(None).cast("timestamp").alias("entry_time"), F.lit(None).cast("date").alias("wanted"),
+        *[F.lit(None).cast(kinds[c]).alias(c) for c in carried],
     )
     asked = requests.select(
         *keys, _signed(F.col("contract_type"), F.col("spot")).alias("at"), F.lit(0).alias("is_contract"),
-        F.lit(None).cast("string").alias(label), "entry_time", "wanted",
+        F.lit(None).cast("string").alias(label), *carried,
     )
     placed = reduce(and_, [F.col(k).isNotNull() for k in keys])
     group = Window.partitionBy(*keys)
@@ -74,7 +79,8 @@ def _ranked(contracts: DataFrame, requests: DataFrame, keys: list[str], label: s
 def _offers(ranked: DataFrame, keys: list[str], label: str) -> DataFrame:
     """Contracts by rank. The conditions hold for every contract; naming all
     columns keeps this reader of ``ranked`` on the shuffle of the requests."""
-    offers = ranked.where("is_contract = 1 and entry_time is null and wanted is null and listed >= place")
+    nothing = " and ".join(f"{c} is null" for c in REQUEST if c not in keys)
+    offers = ranked.where(f"is_contract = 1 and {nothing} and listed >= place")
     return offers.select(*keys, "place", _signed(F.col("contract_type"), F.col("at")).alias("strike"), label)
 
 
@@ -85,7 +91,7 @@ def contract_candidates(requests: DataFrame, contracts: DataFrame) -> DataFrame:
 
 
 def _listed_by_rank(requests: DataFrame, contracts: DataFrame) -> DataFrame:
-    requests = requests.select(*REQUEST)
+    requests = requests.select(*REQUEST).distinct()
     listing = ["symbol", "contract_type", "as_of"]
     known = (
         contracts.withColumnRenamed("underlying", "symbol")
@@ -99,10 +105,7 @@ def _listed_by_rank(requests: DataFrame, contracts: DataFrame) -> DataFrame:
 
 def _qualifying(ranked: DataFrame) -> DataFrame:
     return ranked.where("is_contract = 0 and listed > place").select(
-        "symbol",
-        "entry_time",
-        "contract_type",
-        "as_of",
+        *KEY,
         "expiration",
         F.abs(F.datediff("expiration", "wanted")).alias("expiry_gap"),
         (F.col("listed") - F.col("place")).alias("qualifying"),
@@ -112,26 +115,23 @@ def _qualifying(ranked: DataFrame) -> DataFrame:
 
 def pick_contract(requests: DataFrame, contracts: DataFrame, otm_steps: int) -> DataFrame:
     """The k-th contract per request in order of expiry distance, expiry and strike
-    distance: (symbol, entry_time, expiration, strike, ticker). Running past the
+    distance: the key of the look-up, expiration, strike, ticker. Running past the
     contracts of one expiry goes on in the next best one; past all, the last
     counts. Requests without a qualifying contract have no row."""
     ranked = _listed_by_rank(requests, contracts)
-    per_trade = Window.partitionBy("symbol", "entry_time")
+    per_trade = Window.partitionBy(*KEY)
     by_expiry = per_trade.orderBy("expiry_gap", "expiration").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = _qualifying(ranked).withColumns(
         {"upto": F.sum("qualifying").over(by_expiry), "available": F.sum("qualifying").over(per_trade)}
     )
     step = _steps(otm_steps, F.col("available"))
     chosen = counted.where((step < F.col("upto")) & (step >= F.col("upto") - F.col("qualifying"))).select(
-        "symbol",
-        "entry_time",
-        "contract_type",
-        "as_of",
+        *KEY,
         "expiration",
         (F.col("nearest") + step - (F.col("upto") - F.col("qualifying"))).alias("place"),
     )
     keys = ["symbol", "contract_type", "as_of", "expiration"]
-    return chosen.join(_offers(ranked, keys, "ticker"), [*keys, "place"]).select("symbol", "entry_time", "expiration", "strike", "ticker")
+    return chosen.join(_offers(ranked, keys, "ticker"), [*keys, "place"]).select(*KEY, "expiration", "strike", "ticker")
 
 
 def nearest_expiry(requests: DataFrame, chain: DataFrame, timezone: str) -> DataFrame:
@@ -169,9 +169,9 @@ def within_reach() -> Column:
 
 def kth_otm_strike(requests: DataFrame, chain: DataFrame, otm_steps: int) -> DataFrame:
     """The k-th distinct strike out of the money per request with an expiry:
-    (symbol, entry_time, strike, contract). Clamped to the last one there is."""
+    the key of the look-up, expiration, strike, contract. Clamped to the last one there is."""
     keys = ["symbol", "contract_type", "expiration"]
-    usable = requests.where("expiration is not null")
+    usable = requests.where("expiration is not null").select(*REQUEST, "expiration").distinct()
     strikes = (
         chain.withColumnRenamed("underlying", "symbol")
         .where("expiration is not null and strike is not null")
@@ -182,6 +182,6 @@ def kth_otm_strike(requests: DataFrame, chain: DataFrame, otm_steps: int) -> Dat
     ranked = _ranked(strikes, usable, keys, "contract")
     step = _steps(otm_steps, F.col("listed") - F.col("place"))
     chosen = ranked.where("is_contract = 0 and listed > place").select(
-        *keys, "entry_time", (F.col("place") + 1 + step).alias("place")
+        *KEY, "expiration", (F.col("place") + 1 + step).alias("place")
     )
-    return chosen.join(_offers(ranked, keys, "contract"), [*keys, "place"]).select("symbol", "entry_time", "expiration", "strike", "contract")
+    return chosen.join(_offers(ranked, keys, "contract"), [*keys, "place"]).select(*KEY, "expiration", "strike", "contract")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+# The names and defaults of all parameters below.
+
 
 @dataclass(frozen=True)
 class Session:

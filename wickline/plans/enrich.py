@@ -9,6 +9,7 @@ from wickline.functions import pricing as P
 from wickline.functions.clock import local_date_after, require_utc
 from wickline.operators.asof import asof_prices
 from wickline.operators.contracts import (
+    KEY,
     kth_otm_strike,
     nearest_expiry,
     pick_contract,
@@ -19,8 +20,6 @@ from wickline.operators.settle import settle
 from wickline.params import Options, Risk
 from wickline.plans.backtest import TRADE_COLUMNS
 
-KEY = ["symbol", "entry_time"]
-
 # Statuses of a look-up, in the order they are tested.
 NO_LISTING = "reference_api_error:reference_empty"
 NO_CHAIN = "no_chain_from_yahoo"
@@ -35,15 +34,15 @@ OK = "ok"
 NOT_IMPLEMENTED = ("alpaca", "marketdata")
 
 
-def _prices(requests: DataFrame, picks: DataFrame, quotes: DataFrame, extra_days: int, timezone: str) -> DataFrame:
+def _prices(picks: DataFrame, quotes: DataFrame, extra_days: int, timezone: str) -> DataFrame:
     """Entry and exit quotes of the picked contract over the dates of the trade
     and ``extra_days`` more."""
     lookups = (
-        requests.select(*KEY, "exit_time", F.col("session_date").alias("first_date"))
+        picks.where("ticker is not null")
+        .select(*KEY, "ticker", F.col("as_of").alias("first_date"))
         .withColumn("last_date", local_date_after(F.col("exit_time"), extra_days, timezone))
-        .join(picks.where("ticker is not null").select(*KEY, "ticker"), KEY)
     )
-    return asof_prices(lookups, quotes)
+    return asof_prices(lookups, quotes, KEY)
 
 
 def lookup_listed(trades: DataFrame, contracts: DataFrame, quotes: DataFrame, opts: Options, timezone: str) -> DataFrame:
@@ -51,13 +50,14 @@ def lookup_listed(trades: DataFrame, contracts: DataFrame, quotes: DataFrame, op
     the entry date; option bars up to and including the day after the exit."""
     requests = with_request(trades, opts.dte_target_days, timezone)
     listing = ["symbol", "contract_type", "as_of"]
-    listed = contracts.select(F.col("underlying").alias("symbol"), "contract_type", "as_of").distinct()
+    listings = contracts.select(F.col("underlying").alias("symbol"), "contract_type", "as_of")
+    listed = listings.join(requests.select(*listing).distinct(), listing, "left_semi").distinct()
     picks = pick_contract(requests, contracts, opts.otm_steps)
-    prices = _prices(requests, picks, quotes, 1, timezone)
+    prices = _prices(picks, quotes, 1, timezone)
     found = (
         requests.join(listed.withColumn("has_listing", F.lit(True)), listing, "left")
-        .join(picks.select(*KEY, "ticker", F.lit(True).alias("has_contract")), KEY, "left")
-        .join(prices, KEY, "left")
+        .join(picks.select(*KEY, "ticker", F.lit(True).alias("has_contract")), list(KEY), "left")
+        .join(prices, list(KEY), "left")
     )
     status = (
         F.when(F.col("has_listing").isNull(), NO_LISTING)
@@ -75,8 +75,8 @@ def lookup_chain(trades: DataFrame, chain: DataFrame, quotes: DataFrame, opts: O
     requests = nearest_expiry(with_request(trades, opts.dte_target_days, timezone), chain, timezone)
     picks = kth_otm_strike(requests.where(within_reach()), chain, opts.otm_steps)
     picks = picks.select(*KEY, F.nullif(F.col("contract"), F.lit("")).alias("ticker"))
-    prices = _prices(requests, picks, quotes, 0, timezone)
-    found = requests.join(picks, KEY, "left").join(prices, KEY, "left")
+    prices = _prices(picks, quotes, 0, timezone)
+    found = requests.join(picks, list(KEY), "left").join(prices, list(KEY), "left")
     status = (
         F.when(~F.coalesce("listed_expiries", F.lit(False)), NO_CHAIN)
         .when(F.col("expiration").isNull(), NO_EXPIRY)

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickline.functions.pricing import fallback_contract
-from wickline.functions.text import minute, or_dash, percent, two_decimals
+from wickline.functions.text import minute, or_dash, percent, thousands, two_decimals
 from wickline.operators.blocks import with_block, with_ordinal
 
 TRENDS = ("Uptrend", "Downtrend")
 CONTEXT_BARS = 20
+MARKS = ("side", "exit_reason", "option_return_pct", "entry_price", "exit_price")
 
 
 def _totals() -> list[Column]:
@@ -49,20 +50,34 @@ def summary_by_trend(trades: DataFrame) -> DataFrame:
 
 def _numbered(trades: DataFrame, overall: bool) -> DataFrame:
     """Add ``n``, the place of a trade in entry order: of its symbol, or of all."""
+    ties = ["side", "reason", "exit_time", "entry_price"]  # trades of several strategies at one bar
     if overall:
-        return with_ordinal(with_block(trades, days=1), "n", ["entry_time", "symbol"], keys=())
-    return with_ordinal(with_block(trades), "n", ["entry_time"])
+        return with_ordinal(with_block(trades, days=1), "n", ["entry_time", "symbol", *ties], keys=())
+    return with_ordinal(with_block(trades), "n", ["entry_time", *ties])
+
+
+def _zoned(local: str, instant: str) -> Column:
+    """Wall clock with its offset from UTC, as ISO text."""
+    minutes = F.expr(f"cast((unix_seconds(cast({local} as timestamp)) - unix_seconds({instant})) / 60 as int)")
+    size = F.abs(minutes)
+    offset = F.format_string("%s%02d:%02d", F.when(minutes < 0, "-").otherwise("+"), F.floor(size / 60), size % 60)
+    return F.concat(F.date_format(local, "yyyy-MM-dd HH:mm:ss"), offset)
 
 
 def trade_log(trades: DataFrame, overall: bool = False) -> DataFrame:
     """The 19 columns of the trade log. ``trade_id`` counts from 1 in entry order
     per symbol, or over all symbols with ``overall``; numbers come from counts per
     block of days, so neither pulls the trades into one task."""
+    return _log(trades, overall, F.col("entry_local"), F.col("exit_local"))
+
+
+def _log(trades: DataFrame, overall: bool, entry: Column, exit_: Column) -> DataFrame:
+    # The names and the order of the log's columns.
     return _numbered(trades, overall).select(
         "symbol",
         (F.col("n") + 1).alias("trade_id"),
-        F.col("entry_local").alias("entry_time"),
-        F.col("exit_local").alias("exit_time"),
+        entry.alias("entry_time"),
+        exit_.alias("exit_time"),
         "side",
         F.coalesce(
             F.nullif(F.col("option_contract"), F.lit("")), fallback_contract(F.col("symbol"), F.col("side"))
@@ -85,16 +100,29 @@ def trade_log(trades: DataFrame, overall: bool = False) -> DataFrame:
 
 
 def write_trade_log(trades: DataFrame, path: str, overall: bool = False, mode: str = "errorifexists") -> None:
-    """CSV with a header. Per symbol by default, in one directory per symbol;
+    """CSV with a header, times with their offset from UTC. Per symbol by default, in one directory per symbol;
     ``overall`` writes one log with the plain 19 columns. Both are range-sorted, so
     file order is trade order and a long log is split over tasks."""
-    log = trade_log(trades, overall)
+    log = _log(trades, overall, _zoned("entry_local", "entry_time"), _zoned("exit_local", "exit_time"))
     if overall:
         log.orderBy("trade_id").drop("symbol").write.mode(mode).option("header", True).csv(path)
     else:
         log.orderBy("symbol", "trade_id").write.mode(mode).partitionBy("symbol").option("header", True).csv(path)
 
 
+def display_summary(trades: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The summary as text: amounts with thousands, shares in percent."""
+    found = summary(trades, by)
+    return found.select(
+        *by,
+        *[F.col(c).cast("string").alias(c) for c in ("setups", "total", "wins", "losses", "incomplete")],
+        F.concat(F.lit("$"), thousands(F.col("net_pnl"))).alias("net_pnl"),
+        two_decimals(F.col("total_r")).alias("total_r"),
+        two_decimals(F.col("avg_r")).alias("avg_r"),
+        percent(F.col("win_rate")).alias("win_rate"),
+    )
+
+
 def display_log(trades: DataFrame, overall: bool = False) -> DataFrame:
     """The log as text: minutes, two decimals, ``-`` for what is missing."""
 
@@ -129,18 +157,21 @@ def example_trades(trades: DataFrame, count: int = 2) -> DataFrame:
     """
     if count <= 0:
         return trades.withColumn("example", F.lit(0)).limit(0)
-    same = Window.partitionBy("symbol", "hit_target").orderBy("entry_time")
+    ties = ["side", "reason", "exit_time", "entry_price"]
+    same = Window.partitionBy("symbol", "hit_target").orderBy("entry_time", *ties)
     early = trades.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= count)
     priority = F.when(F.col("nth") > 1, 2).when(F.col("hit_target"), 0).otherwise(1)
     picked = early.withColumn("priority", priority)
-    order = Window.partitionBy("symbol").orderBy("priority", "entry_time")
+    order = Window.partitionBy("symbol").orderBy("priority", "entry_time", *ties)
     ranked = picked.withColumn("example", F.row_number().over(order)).where(F.col("example") <= count)
     return ranked.drop("nth", "priority")
 
 
-def trade_context(examples: DataFrame, indexed: DataFrame, around: int = CONTEXT_BARS) -> DataFrame:
+def trade_context(examples: DataFrame, indexed: DataFrame, around: int = CONTEXT_BARS, marks: bool = False) -> DataFrame:
     """Prepared bars from ``around`` bars before the entry to as many after the
-    exit, with their position, and marks at entry and exit.
+    exit, with their position, and marks at entry and exit. With ``marks`` each row
+    also has what labels the trade: side, exit reason, return and its own entry and
+    exit price, which for a stop or a target isn't the close of the bar.
 
     The wanted ordinals are spelled out, which makes it an equi-join on
     (symbol, bar_idx); rows beyond either end of the series do not exist.
@@ -151,6 +182,7 @@ def trade_context(examples: DataFrame, indexed: DataFrame, around: int = CONTEXT
         "entry_idx",
         "exit_idx",
         "example",
+        *[F.col(c) for c in MARKS if marks],
         first.alias("first_idx"),
         F.explode(F.sequence(first, F.col("exit_idx") + around)).alias("bar_idx"),
     )
@@ -169,4 +201,5 @@ def trade_context(examples: DataFrame, indexed: DataFrame, around: int = CONTEXT
         "rsi",
         (F.col("bar_idx") == F.col("entry_idx")).alias("is_entry"),
         (F.col("bar_idx") == F.col("exit_idx")).alias("is_exit"),
+        *[F.col(c) for c in MARKS if marks],
     )
