@@ -156,10 +156,10 @@ def _profiler(rule: JaccardJoin, shared_classes):
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(keys[chosen].view(np.int64))
                 )
-                kept = part.select(["row_id", "id", "text_hash"])
+                kept = part.select(["row_id", "id", "id_key", "text_hash"])
                 yield pa.RecordBatch.from_arrays(
                     [*kept.columns, pa.array(n), pa.array(digests, pa.binary()), lists],
-                    names=["row_id", "id", "text_hash", "n", "digest", "prefix"],
+                    names=["row_id", "id", "id_key", "text_hash", "n", "digest", "prefix"],
                 )
 
     return run
@@ -182,46 +182,33 @@ def _blobs(width: int):
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    return df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    """Id, a key of it that is never null, hash of the text, text."""
+    ident, text = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return df.select(
+        ident.alias("id"), F.coalesce(ident.cast("string"), F.lit("")).alias("id_key"), F.xxhash64(text).alias("text_hash"), text.alias("text")
+    )
 
 
-def _sets_of(rows: DataFrame, asked: DataFrame, rule: JaccardJoin) -> DataFrame:
-    """``asked`` (with ``id`` and ``text_hash``) with the shingles of their texts, which
-    are read again. A bit table of fixed size, broadcast, drops nearly all texts that
-    aren't asked for before any moves; the join on id and text hash decides."""
-    slot = F.pmod(F.xxhash64("id", "text_hash"), F.lit(64 * FILTER_WORDS))
+def _nearly(rows: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose ``keys`` may be in ``asked``: a bit table of fixed size, broadcast,
+    drops nearly all others where they are. The join that follows decides; a table
+    that fills up lets more rows through, and changes nothing else."""
+    slot = F.pmod(F.xxhash64(*keys), F.lit(64 * FILTER_WORDS))
     bit = F.expr("shiftleft(1L, cast(slot % 64 as int))")
     table = asked.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("mask"))
-    near = (
-        rows.withColumn("slot", slot)
-        .join(F.broadcast(table), F.shiftright("slot", 6) == F.col("word"))
-        .filter(F.col("mask").bitwiseAND(bit) != 0)
-        .groupBy(F.col("id").alias("of_id"), F.col("text_hash").alias("of_hash"))
-        .agg(F.first("text").alias("text"))
-    )
-    on = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash"))
-    found = asked.join(near, on).drop("of_id", "of_hash", "id", "text_hash")
-    schema = ", ".join(f"{c} {kind}" for c, kind in found.drop("text").dtypes) + ", set binary"
-    return found.mapInArrow(_blobs(rule.width), schema)
-
+    held = rows.withColumn("slot", slot).join(F.broadcast(table), F.shiftright("slot", 6) == F.col("word"))
+    return held.filter(F.col("mask").bitwiseAND(bit) != 0).select(*rows.columns)
 
-def _star_links(percent: int):
-    """Rows sorted by star, its pivot first: the members that link with it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        star, pivot = None, None
-        for batch in batches:
-            found: list[tuple[int, int]] = []
-            for at, salt, node, blob in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                shingles = np.frombuffer(blob, np.uint64)
-                if node == at:
-                    star, pivot = (at, salt), shingles
-                elif (at, salt) == star and _enough(pivot, shingles, percent):
-                    found.append((at, node))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ([], []))], names=["u", "v"])
 
-    return run
+def _sets_of(rows: DataFrame, asked: DataFrame, rule: JaccardJoin) -> DataFrame:
+    """``asked`` (with ``id_key`` and ``text_hash``) with the shingles of their texts,
+    which are read again. Repeated rows are one before they move, and the join is on
+    the key of that step, so texts move once."""
+    keys = ["id_key", "text_hash"]
+    near = _nearly(rows.select(*keys, "text"), asked, keys).groupBy(*keys).agg(F.first("text").alias("text"))
+    found = asked.join(near, keys).drop(*keys)
+    schema = ", ".join(f"{c} {kind}" for c, kind in found.drop("text").dtypes) + ", set binary"
+    return found.mapInArrow(_blobs(rule.width), schema)
 
 
 def _short_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,9 +244,32 @@ def _pair_links(percent: int, kind: type):
     return run
 
 
+def _star_links(percent: int):
+    """Rows sorted by star, its pivot first: the members that link with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        star, pivot = None, None
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for at, salt, node, blob in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                shingles = np.frombuffer(blob, np.uint64)
+                if node == at:
+                    star, pivot = (at, salt), shingles
+                elif (at, salt) == star and _enough(pivot, shingles, percent):
+                    found.append((at, node))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ([], []))], names=["u", "v"])
+
+    return run
+
+
 # ----------------------------------------------------------------------- the join
 
 
+def _fit(percent: int, a: Column, b: Column) -> Column:
+    """Whether sets of these sizes can link."""
+    return (a * percent <= b * 100) & (b * percent <= a * 100)
+
+
 def _needed(t: float, a: Column, b: Column) -> Column:
     """Least number of shingles that the prefixes of two linked sets of these sizes
     share: what the overlap needs, less what may lie behind the prefixes."""
@@ -276,7 +286,8 @@ def _star_step(shared: DataFrame, nodes: DataFrame, rows: DataFrame, rule: Jacca
     seen = shared.join(pivots, "token").select("node", "n", F.posexplode("pivots").alias("order", "pivot")).filter("node <> pivot")
     votes = seen.groupBy("node", "n", "order", "pivot").count()
     sizes = nodes.select(F.col("node").alias("pivot"), F.col("n").alias("pivot_n"))
-    near = votes.join(sizes, "pivot").filter(F.col("count") >= _needed(rule.percent / 100, F.col("n"), F.col("pivot_n")))
+    enough = F.col("count") >= _needed(rule.percent / 100, F.col("n"), F.col("pivot_n"))
+    near = votes.join(sizes, "pivot").filter(_fit(rule.percent, F.col("n"), F.col("pivot_n")) & enough)
     best = near.groupBy("node", "order").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot"))
     best = written(best.select("node", "pivot").distinct(), "stars")
     parts = best.groupBy("pivot").agg(F.expr(f"cast(ceil(count(*) / {STAR}) as int)").alias("parts"))
@@ -285,7 +296,7 @@ def _star_step(shared: DataFrame, nodes: DataFrame, rows: DataFrame, rule: Jacca
         .select("pivot", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("salt"), "node")
         .union(parts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.col("pivot").alias("node")))
     )
-    placed = _sets_of(rows, places.join(nodes, "node").select("pivot", "salt", "node", "id", "text_hash"), rule)
+    placed = _sets_of(rows, places.join(nodes, "node").select("pivot", "salt", "node", "id_key", "text_hash"), rule)
     return (
         placed.repartition("pivot", "salt")
         .sortWithinPartitions("pivot", "salt", F.col("node") != F.col("pivot"))
@@ -326,8 +337,8 @@ def _matrix_step(shared: DataFrame, linked: DataFrame, rule: JaccardJoin) -> Dat
     ends = F.greatest(F.col("lo") + 0.0, F.col("qn") * t), F.least(F.col("hi") + 0.0, F.col("qn") / t)
     least = F.least(*[_needed(t, F.col("qn"), end) for end in ends])
     opened = overlap.filter(F.col("shared") >= least).select("q", "qn", "component", "chunk")
-    both = (F.col("n") * rule.percent <= F.col("qn") * 100) & (F.col("qn") * rule.percent <= F.col("n") * 100)
-    return opened.join(grouped, ["component", "chunk"]).filter(both).select(F.col("q").alias("u"), F.col("node").alias("v"))
+    pairs = opened.join(grouped, ["component", "chunk"]).filter(_fit(rule.percent, F.col("n"), F.col("qn")))
+    return pairs.select(F.col("q").alias("u"), F.col("node").alias("v"))
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, column: str, percent: int, kind: type) -> DataFrame:
@@ -349,7 +360,7 @@ def _settled(pairs: DataFrame, links: DataFrame, linked: DataFrame, nodes: DataF
     pair is left. So what is compared in full follows the nodes, not the pairs of a
     large group of near copies."""
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    asked = nodes.select("node", "id", "text_hash").join(wanted, "node", "left_semi")
+    asked = nodes.select("node", "id_key", "text_hash").join(wanted, "node", "left_semi")
     schema = "node long, set binary, short binary"
     sets = written(_sets_of(rows, asked, rule).mapInArrow(_short_forms, schema), "sets")
     left, tries = written(_compare(pairs, sets, "short", rule.percent, np.uint16), "pairs"), 1
@@ -390,15 +401,16 @@ def jaccard_components(df: DataFrame, rule: JaccardJoin = JaccardJoin(), id_col:
     kind = rows.schema["id"].dataType.simpleString()
     classes = spark.sparkContext.broadcast(count_classes(rows, rule))
     numbered = rows.select(F.monotonically_increasing_id().alias("row_id"), "*")
-    schema = f"row_id long, id {kind}, text_hash long, n long, digest binary, prefix array<long>"
+    schema = f"row_id long, id {kind}, id_key string, text_hash long, n long, digest binary, prefix array<long>"
     profiles = written(numbered.mapInArrow(_profiler(rule, classes), schema), "sets")
     same = profiles.filter("n > 0").groupBy("digest").agg(F.min("row_id").alias("node"), F.min("id").alias("least_id"))
     same = written(same, "nodes")
     first = profiles.join(same.select("node"), F.col("row_id") == F.col("node"), "left_semi")
-    nodes = first.select(F.col("row_id").alias("node"), "id", "text_hash", "n")
+    nodes = first.select(F.col("row_id").alias("node"), "id_key", "text_hash", "n")
     tokens = first.select(F.explode("prefix").alias("token"), F.col("row_id").alias("node"), "n")
-    twice = tokens.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("token")
-    shared = written(tokens.join(twice, "token", "left_semi"), "shared")
+    met = tokens.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+    twice = written(met.filter("a <> b").select("token"), "twice")
+    shared = written(_nearly(tokens, twice, ["token"]).join(twice, "token"), "shared")
     links = written(_star_step(shared, nodes, rows, rule), "links")
     linked = written(components(links), "components")
     pairs = written(_matrix_step(shared, linked, rule), "pairs")
