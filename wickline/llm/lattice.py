@@ -23,7 +23,9 @@ from wickline.llm.scratch import written
 
 LN10 = math.log(10)
 CELLS = 400_000
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
+PIECE_BYTES = 2 << 20
+WORDS = 2_500
 MIN_CLASS_SHARE = 0.01
 
 
@@ -182,7 +184,7 @@ def _word_counts(n_classes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in W.pieces(batch, "text"):
+            for part, texts in W.pieces(batch, "text", PIECE_BYTES):
                 found = W.words(pc.ascii_lower(texts))
                 of = part.column(part.schema.get_field_index("class")).to_numpy(zero_copy_only=False)
                 key = found.codes.astype(np.int64) * (n_classes + 1) + of[found.owner]
@@ -195,6 +197,13 @@ def _word_counts(n_classes: int):
     return run
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of ``WORDS``: a word has many edges."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, WORDS):
+            yield batch.slice(start, WORDS)
+
+
 def _expectation(name: str, n_classes: int):
     """Expected pieces of the words, each distinct word of a class once: the lattice
     is for words that are rare or new, so frequent ones mustn't rule it."""
@@ -202,7 +211,7 @@ def _expectation(name: str, n_classes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid = lattice(name)
         total = np.zeros((grid.size, n_classes))
-        for batch in batches:
+        for batch in _few(batches):
             counts = batch.column(1).flatten().to_numpy().reshape(-1, n_classes)
             total += grid.expected(batch.column(0).to_pylist(), grid.prior(), (counts > 0).astype(float))
         piece, cls = np.nonzero(total)
@@ -218,7 +227,7 @@ def _spell(name: str, shared_model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid, model = lattice(name), shared_model.value
-        for batch in batches:
+        for batch in _few(batches):
             counts = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
             spelt = grid.log_probs(batch.column(0).to_pylist(), model.scores)
             scores = model.word_log10(counts, spelt).astype(np.float32)
@@ -230,7 +239,7 @@ def _spell(name: str, shared_model):
 
 def _block_words(docs: pa.Table) -> pa.Table:
     """(block, word) of the distinct words of one block."""
-    parts = [W.words(pc.ascii_lower(texts)).values.cast(pa.string()) for batch in docs.to_batches() for _, texts in W.pieces(batch, "text")]
+    parts = [W.words(pc.ascii_lower(texts)).values.cast(pa.string()) for batch in docs.to_batches() for _, texts in W.pieces(batch, "text", PIECE_BYTES)]
     words = pa.chunked_array(parts, pa.string()).unique()
     block = pa.array(np.full(len(words), docs.column("block")[0].as_py()), pa.int32())
     return pa.table([block, words], names=["block", "word"])
@@ -248,7 +257,7 @@ def _score_block(shared_model, all_tokens: int, all_distinct: int, end_count: in
         scores = words.column("scores").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, k)
         out = []
         for batch in docs.to_batches():
-            for part, texts in W.pieces(batch, "text"):
+            for part, texts in W.pieces(batch, "text", PIECE_BYTES):
                 found = W.words(pc.ascii_lower(texts))
                 at = pc.index_in(found.values.cast(names.type), value_set=names).to_numpy(zero_copy_only=False).astype(np.int64)
                 c = count[at][found.codes]

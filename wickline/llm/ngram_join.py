@@ -18,7 +18,7 @@ from wickline.llm import words as W
 from wickline.llm.components import components
 from wickline.llm.scratch import written
 
-SHINGLE_BYTES = 4 << 20
+SHINGLE_BYTES = 2 << 20
 RANGE = 1 << 14
 FILTER_WORDS = 1 << 16
 STAR = 500
@@ -84,13 +84,13 @@ def _local_counts(width: int, bits: int):
                 found, n = np.unique(_bucket(shingle_sets(texts, width)[1], bits), return_counts=True)
                 table[found] += n.astype(np.uint32)
         if table.any():
-            yield _ranges(0, dict(enumerate(table.astype(np.uint64).reshape(-1, RANGE))))
+            yield _ranges(0, dict(enumerate(table.reshape(-1, RANGE))))
 
     return run
 
 
 def _ranges(salt: int, parts: dict[int, np.ndarray]) -> pa.RecordBatch:
-    blobs = [zlib.compress(p.tobytes(), 1) for p in parts.values()]
+    blobs = [zlib.compress(p.astype(np.uint64).tobytes(), 1) for p in parts.values()]
     columns = [pa.array([salt] * len(parts), pa.int32()), pa.array(list(parts), pa.int32()), pa.array(blobs, pa.binary())]
     return pa.RecordBatch.from_arrays(columns, names=["salt", "part", "counts"])
 

@@ -6,9 +6,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from xxhash import xxh3_64_intdigest
 
 PIECE_BYTES = 8 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -43,6 +43,7 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = PIECE_BYTES) -> Iterat
         held += size
     if start < len(texts):
         yield batch.slice(start), texts.slice(start)
+    pa.default_memory_pool().release_unused()  # idle workers keep what they don't give back
 
 
 def _encoded(lists: pa.Array, keep: pa.Array, flat: pa.Array) -> Tokens:
@@ -75,7 +76,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def content_hashes(values: pa.Array) -> np.ndarray:
     """64-bit hashes of strings, the same in every task."""
-    return pd.util.hash_array(values.to_numpy(zero_copy_only=False).astype(object), categorize=False)
+    return np.fromiter(map(xxh3_64_intdigest, values.to_pylist()), np.uint64, len(values))
 
 
 def windows(hashes: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
