@@ -36,11 +36,13 @@ def _counter(name: str):
 
 def stored_counts(spark: SparkSession, cache: str, version: str) -> DataFrame:
     """(content_digest, n_tokens) that the cache holds for a tokenizer version; of
-    entries that two writers added for the same content one is taken."""
+    entries that two writers added for the same content one is taken. Grouped by both
+    digests, so that a join on content has an exchange of its own below it, which lets
+    Spark split the rows of a content with many copies."""
     nothing = [F.lit(None).cast(kind).alias(c) for c, kind in (p.split() for p in CACHE_SCHEMA.split(", "))]
     spark.range(0).select(*nothing).write.mode("append").parquet(cache)  # makes the table
     held = spark.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("tokenizer_digest") == version)
-    return held.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
+    return held.groupBy("tokenizer_digest", "content_digest").agg(F.max("n_tokens").alias("n_tokens")).drop("tokenizer_digest")
 
 
 def count_tokens(
