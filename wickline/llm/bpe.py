@@ -20,7 +20,8 @@ from wickline.llm import words as W
 PLACE_BITS = 32
 PLACE = (1 << PLACE_BITS) - 1
 NEVER = 1 << 62
-CACHE_ENTRIES = 300_000
+WORD_ENTRIES = 800_000
+CHUNK_ENTRIES = 250_000
 ENCODE_BYTES = 2 << 20
 
 
@@ -113,34 +114,38 @@ class SegmentTreeBPE:
 
 
 class CachedBPE:
-    """Encodes and decodes whole texts; remembers chunks between white space."""
+    """Encodes and decodes whole texts; remembers words, and for a shorter time the
+    chunks between white space, which are words with their capitals and punctuation."""
 
-    def __init__(self, name: str = tokens.WORD_BPE, entries: int = CACHE_ENTRIES):
+    def __init__(self, name: str = tokens.WORD_BPE, words: int = WORD_ENTRIES, chunks: int = CHUNK_ENTRIES):
         self.bpe = SegmentTreeBPE(name)
         self.library = tokens.load(name)
-        self.entries = entries
+        self.max_words, self.max_chunks = words, chunks
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.bpe.special, key=len, reverse=True))) + ")")
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
         self.ids: dict[str, str] = {}
         self.texts: dict[str, str] = {}
 
-    def _word(self, letters: str) -> list[int]:
-        found = self.words.get(letters)
-        if found is None:
-            if len(self.words) >= self.entries:
-                self.words.clear()
-            found = self.words[letters] = self.bpe.word(letters)
+    def _learn(self, word: str, letters: str) -> tuple[int, ...]:
+        if len(self.words) >= self.max_words:
+            self.words.clear()
+        found = self.words[word] = tuple(self.bpe.word(letters))
         return found
 
     def _piece(self, text: str) -> list[int]:
         """Text without special strings."""
-        if tokens.PLAIN.fullmatch(text):
+        out: list[int] = []
+        known = self.words.get
+        words = tokens.plain_words(text)
+        if words is not None:
             table = self.bpe.letters
-            words = ("".join([table[b] for b in w.encode()]) for w in tokens.WORD.findall(text.lower()))
+            for word in words:
+                out += known(word) or self._learn(word, "".join([table[b] for b in word.encode()]))
         else:
             normal = self.library.normalizer.normalize_str(text)
-            words = (w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal))
-        return [i for w in words for i in self._word(w)]
+            for letters, _ in self.library.pre_tokenizer.pre_tokenize_str(normal):
+                out += self.bpe.word(letters)
+        return out
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -151,28 +156,22 @@ class CachedBPE:
                 out += self._piece(part)
         return out
 
-    def _known(self, chunk: str) -> str:
-        ids = self.encode(chunk)
-        if len(self.ids) >= self.entries:
-            self.ids.clear()
-            self.texts.clear()
-        self.texts[chunk] = self.bpe.decode(ids)
-        found = self.ids[chunk] = " ".join(map(str, ids))
-        return found
-
     def both(self, text: str) -> tuple[str, str]:
         """(ids joined by a space, decoded text)."""
-        if tokens.WHOLE.search(text):
+        if tokens.only_whole(text):
             ids = self.encode(text)
             return " ".join(map(str, ids)), self.bpe.decode(ids)
         chunks = text.split()
-        for chunk in set(chunks).difference(self.ids):
-            self._known(chunk)
-        try:
-            return " ".join(map(self.ids.__getitem__, chunks)), " ".join(map(self.texts.__getitem__, chunks))
-        except KeyError:  # the cache was emptied on the way, or holds less than this text
-            ids = [self.encode(c) for c in chunks]
-            return " ".join(str(i) for c in ids for i in c), " ".join(map(self.bpe.decode, ids))
+        unknown = set(chunks).difference(self.ids)
+        if len(self.ids) + len(unknown) > self.max_chunks:
+            self.ids.clear()
+            self.texts.clear()
+            unknown = set(chunks)
+        for chunk in unknown:
+            ids = self._piece(chunk)
+            self.ids[chunk] = " ".join(map(str, ids))
+            self.texts[chunk] = self.bpe.decode(ids)
+        return " ".join(map(self.ids.__getitem__, chunks)), " ".join(map(self.texts.__getitem__, chunks))
 
 
 @functools.cache

@@ -17,14 +17,30 @@ WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+
 WORD_END = "</w>"
 
 # str.split() also splits at these controls, the tokenizer doesn't; "<|" may begin a special string.
-WHOLE = re.compile("[\x1c-\x1f]|<\\|")
+WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 # Characters that normalisation leaves alone but for lowering, one by one.
 PLAIN = re.compile("[\x21-\x7e\xa1-įı-ſ]+")
 
-CACHE_ENTRIES = 400_000
+WORD_ENTRIES = 800_000
+CHUNK_ENTRIES = 300_000
 JOINED = 400
 
 
+def only_whole(text: str) -> bool:
+    """Whether a text can't be cut at white space."""
+    return any(mark in text for mark in WHOLE)
+
+
+def plain_words(chunk: str) -> list[str] | None:
+    """The words of a chunk of plain characters, else None."""
+    if chunk.isascii():
+        if chunk.isalpha():
+            return [chunk.lower()]
+        if chunk[:-1].isalpha() and chunk[-1] in ".,":
+            return [chunk[:-1].lower(), chunk[-1]]
+    return WORD.findall(chunk.lower()) if PLAIN.fullmatch(chunk) else None
+
+
 @functools.cache
 def load(name: str) -> Tokenizer:
     """The tokenizer of a file, from the public package's folder on this executor."""
@@ -38,11 +54,12 @@ class ChunkEncoder:
     """Encodes texts chunk by chunk (runs without white space): no token of a word
     tokenizer crosses white space, so the ids of a text are those of its chunks.
     Unknown chunks are cut into words and the words encoded by the library; texts
-    with special strings or odd controls go to the library whole."""
+    with special strings or odd controls go to the library whole. Both caches are
+    bounded, and emptied when they are full."""
 
-    def __init__(self, name: str = WORD_BPE, entries: int = CACHE_ENTRIES):
+    def __init__(self, name: str = WORD_BPE, words: int = WORD_ENTRIES, chunks: int = CHUNK_ENTRIES):
         self.tokenizer = load(name)
-        self.entries = entries
+        self.max_words, self.max_chunks = words, chunks
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
@@ -65,22 +82,20 @@ class ChunkEncoder:
             self.words.update(zip(group, (p.tobytes() for p in parts)))
 
     def _learn(self, chunks: set[str]) -> None:
-        plain = {c: WORD.findall(c.lower()) for c in chunks if PLAIN.fullmatch(c)}
-        self._learn_words(list({w for words in plain.values() for w in words}.difference(self.words)))
-        for chunk in chunks:
-            if chunk in plain:
-                self.chunks[chunk] = b"".join(map(self.words.__getitem__, plain[chunk]))
-            else:
-                self.chunks[chunk] = self._library(chunk).tobytes()
+        parted = {c: plain_words(c) for c in chunks}
+        self._learn_words(list({w for words in parted.values() if words for w in words}.difference(self.words)))
+        known = self.words.__getitem__
+        for chunk, words in parted.items():
+            self.chunks[chunk] = self._library(chunk).tobytes() if words is None else b"".join(map(known, words))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
-        parted = [None if WHOLE.search(t) else t.split() for t in texts]
+        parted = [None if only_whole(t) else t.split() for t in texts]
         unknown = set().union(*(p for p in parted if p)).difference(self.chunks)
-        if len(self.chunks) + len(unknown) > self.entries:
+        if len(self.chunks) + len(unknown) > self.max_chunks:
             self.chunks.clear()
             unknown = set().union(*(p for p in parted if p))
-        if len(self.words) > self.entries:
+        if len(self.words) > self.max_words:
             self.words.clear()
         self._learn(unknown)
         known = self.chunks.__getitem__
