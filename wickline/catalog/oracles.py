@@ -312,6 +312,15 @@ FINAL: dict[str, str] = {
     "session_wrap": f"""
         select symbol, hour(local_ts) as hour, count(*) as bars, sum(volume) as volume, max(high) as high
         from ({_bars("20:00:00", "08:00:00")}) group by all""",
+    "read_bars_range": """
+        select symbol, local_ts, open, high, low, close, volume from bars
+        where symbol in ('click', 'purchase') and cast(local_ts as date) between '2024-01-05' and '2024-01-19'""",
+    "normalized_bars": """
+        select symbol, local_ts, open, high, low, close, if(volume % 5 = 0, null, volume) as volume
+        from bars where volume % 7 <> 0""",
+    "option_bars_ohlc": """
+        select session_date, count(*) as quotes, count(distinct ticker) as tickers, sum(close) as total_close
+        from quotes where session_date between '2024-01-08' and '2024-01-12' group by 1""",
     "rolling_mean_std": "select symbol, local_ts, bb_basis as rolling_mean, sigma as rolling_std from averaged",
     "bollinger": "select symbol, local_ts, bb_basis, bb_upper, bb_lower from measured",
     "ewm_mean": f"""
@@ -428,6 +437,9 @@ DOUBLES: dict[str, list[str]] = {
     "running_price": ["price"],
     "bars_30m": ["open", "high", "low", "close", "volume"],
     "session_wrap": ["volume", "high"],
+    "read_bars_range": ["open", "high", "low", "close", "volume"],
+    "normalized_bars": ["open", "high", "low", "close", "volume"],
+    "option_bars_ohlc": ["total_close"],
     "rolling_mean_std": ["rolling_mean", "rolling_std"],
     "bollinger": ["bb_basis", "bb_upper", "bb_lower"],
     "ewm_mean": ["slow", "fast", "same"],

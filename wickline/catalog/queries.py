@@ -17,14 +17,14 @@ from wickline.operators import indicators as I
 from wickline.operators.asof import asof_prices
 from wickline.operators.blocks import with_history, with_block
 from wickline.operators.outcomes import candidate_outcomes, eligible, forward_path
-from wickline.operators.settle import settle
+from wickline.operators.settle import settle, settled_path
 from wickline.params import Options
 from wickline.plans import report
 from wickline.plans.backtest import backtest, indexed_bars, signals
 from wickline.plans.enrich import apply_lookup, enrich, lookup_chain, lookup_listed
 from wickline.plans.strategy import BandReversal, make_signal
-from wickline.sources.bars import build_bars
-from wickline.sources.options import read_option_bars_agg, read_option_chain, read_option_contracts
+from wickline.sources.bars import build_bars, read_bars, session_bars
+from wickline.sources.options import read_option_bars_agg, read_option_bars_ohlc, read_option_chain, read_option_contracts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -92,6 +92,37 @@ def session_wrap(m: Market) -> DataFrame:
     )
 
 
+def read_bars_range(m: Market) -> DataFrame:
+    """Two symbols and two weeks of a bar table that is stored by date, every bar twice."""
+    stored = derived.bars(m.spark, m.sf_dir).drop("local_ts")
+    path = settled_path(stored.union(stored), by=("session_date",))
+    found = read_bars(m.spark, path, symbols=["click", "purchase"], start="2024-01-05", end="2024-01-20", session=SESSION)
+    return found.select("symbol", "local_ts", "open", "high", "low", "close", "volume")
+
+
+def normalized_bars(m: Market) -> DataFrame:
+    """Bars with two-level headers, some without a close, some with a NaN volume."""
+    bars = derived.bars(m.spark, m.sf_dir)
+    odd = bars.select(
+        F.col("symbol").alias("Symbol"),
+        F.col("ts").alias("TS"),
+        *[F.col(c).alias(f"{c.title()}|X") for c in ("open", "high", "low")],
+        F.when(F.col("volume") % 7 == 0, float("nan")).otherwise(F.col("close")).alias("Close|X"),
+        F.when(F.col("volume") % 5 == 0, float("nan")).otherwise(F.col("volume")).alias("VOLUME"),
+    )
+    return session_bars(odd, SESSION).select("symbol", "local_ts", "open", "high", "low", "close", "volume")
+
+
+def option_bars_ohlc(m: Market) -> DataFrame:
+    """Option bars in the layout of named columns, of one week."""
+    _, _, quoted = m.options()
+    raw = quoted.select("ticker", F.timestamp_millis("t").alias("Ts"), F.col("c").alias("Close"))
+    found = read_option_bars_ohlc(raw, ZONE, start="2024-01-08", end="2024-01-12")
+    return found.groupBy("session_date").agg(
+        F.count("*").alias("quotes"), F.countDistinct("ticker").alias("tickers"), F.sum("close").alias("total_close")
+    )
+
+
 def rolling_mean_std(m: Market) -> DataFrame:
     return I.rolling(m.bars(), "close", 20).select("symbol", "local_ts", "rolling_mean", "rolling_std")
 
@@ -335,6 +366,9 @@ QUERIES: dict[str, Callable[[Market], DataFrame]] = {
     "running_price": running_price,
     "bars_30m": bars_30m,
     "session_wrap": session_wrap,
+    "read_bars_range": read_bars_range,
+    "normalized_bars": normalized_bars,
+    "option_bars_ohlc": option_bars_ohlc,
     "rolling_mean_std": rolling_mean_std,
     "bollinger": bollinger,
     "ewm_mean": ewm_mean,

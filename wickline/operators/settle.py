@@ -23,6 +23,18 @@ def _at(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def settled_path(df: DataFrame, by: tuple[str, ...] = ()) -> str:
+    """Write ``df`` as Parquet in the shared folder, partitioned by the columns ``by``;
+    held and deleted like other settled tables."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    target, files = _at(spark, path)
+    files.deleteOnExit(target)
+    _held.setdefault(spark.sparkContext.applicationId, []).append(path)
+    df.write.partitionBy(*by).parquet(path)
+    return path
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back; a Spark
     job at call time.
@@ -33,13 +45,7 @@ def settle(df: DataFrame) -> DataFrame:
     pruning, and its size is known to the planner. It is there until ``release``, the
     end of the ``settling`` block, or of the application.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
-    target, files = _at(spark, path)
-    files.deleteOnExit(target)
-    _held.setdefault(spark.sparkContext.applicationId, []).append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(settled_path(df))
 
 
 def release(spark: SparkSession, keep: int = 0) -> None:
