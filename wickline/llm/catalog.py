@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wickline.llm.bpe import round_trip
 from wickline.llm.exact_dedup import exact_dedup
 from wickline.llm.lattice import score_documents
+from wickline.llm.licences import scan_licences
 from wickline.llm.ngram_join import JaccardJoin, jaccard_components
 from wickline.llm.packing import pack_documents
 from wickline.llm.quality import assess
@@ -48,6 +49,11 @@ def op4_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"))
+    return scan_licences(docs, "path")
+
+
 def op6_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = JaccardJoin(width=4, percent=85)
     found = jaccard_components(table(spark, sf_dir, "documents"), rule)
@@ -87,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "op2_digest_cache": op2_digest_cache,
     "op3_segment_tree_bpe": op3_segment_tree_bpe,
     "op4_swap_packing": op4_swap_packing,
+    "op5_licence_scan": op5_licence_scan,
     "op6_token_groups": op6_token_groups,
     "op7_uniform_shards": op7_uniform_shards,
     "op8_warc_index": op8_warc_index,
