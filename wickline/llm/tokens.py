@@ -21,8 +21,8 @@ WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 # Characters that normalisation leaves alone but for lowering, one by one.
 PLAIN = re.compile("[\x21-\x7e\xa1-įı-ſ]+")
 
-WORD_ENTRIES = 800_000
-CHUNK_ENTRIES = 300_000
+WORD_ENTRIES = 400_000
+CHUNK_ENTRIES = 150_000
 JOINED = 400
 
 
