@@ -18,7 +18,7 @@ from wickline.llm import words as W
 from wickline.llm.components import components
 from wickline.llm.scratch import written
 
-SHINGLE_BYTES = 2 << 20
+SHINGLE_BYTES = 1 << 20
 RANGE = 1 << 14
 FILTER_WORDS = 1 << 16
 STAR = 500
