@@ -79,3 +79,20 @@ def test_applied_rules(spark):
 @pytest.mark.parametrize("run", [assess, apply_rules])
 def test_empty_table(make_docs, run):
     assert run(make_docs([])).count() == 0
+
+
+def shared_lines(n, host="h", lines=1):
+    body = "\n".join(f"shared words of line {k}" for k in range(lines))
+    return [(i, f"{body}\n" + " ".join(f"w{i}x{j}" for j in range(12)), "en", host, None) for i in range(n)]
+
+
+def test_sql_where_lines_go(spark, make_docs, tmp_path):
+    from oracle import connect, difference
+    from wickline.llm import catalog
+
+    rows = shared_lines(101, lines=20) + [(1000 + r[0], *r[1:]) for r in shared_lines(100, host="g", lines=20)]
+    make_docs(rows).coalesce(1).toPandas().to_parquet(tmp_path / "documents.parquet")
+    query = catalog.QUERIES["op9_line_frequency"]
+    assert difference(spark, connect(str(tmp_path)), query, catalog.STATEMENTS["op9_line_frequency"], str(tmp_path)) is None
+    got = query(spark, str(tmp_path)).collect()
+    assert sum(not r.kept and not r.base_failed for r in got) == 101 and all(r.kept for r in got if r.doc_id >= 1000)
