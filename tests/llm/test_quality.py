@@ -96,3 +96,8 @@ def test_sql_where_lines_go(spark, make_docs, tmp_path):
     assert difference(spark, connect(str(tmp_path)), query, catalog.STATEMENTS["op9_line_frequency"], str(tmp_path)) is None
     got = query(spark, str(tmp_path)).collect()
     assert sum(not r.kept and not r.base_failed for r in got) == 101 and all(r.kept for r in got if r.doc_id >= 1000)
+
+
+def test_near_copies_above_the_limits_are_all_depleted(make_docs):
+    got = apply_rules(make_docs(shared_lines(101, lines=20) + [(500, "w " + " ".join(f"v{j}" for j in range(20)), "en", "h", None)]))
+    assert [r.doc_id for r in got.collect()] == [500]

@@ -115,7 +115,8 @@ def assess(df: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "d
     the lines above the limits, null if none), ``base_failed`` and ``kept``.
 
     A line counts once per distinct text of a host, so exact copies of a document
-    don't make its lines look common. The text is read once; all later steps read a
+    don't make its lines look common. Near copies count each: a group above the limits
+    loses its shared lines, and with them all its documents if too little is left. The text is read once; all later steps read a
     table of counts and line digests. Null texts are empty and fail; a null host is
     the host ``''``; ties don't occur, as all rules are thresholds.
     """
