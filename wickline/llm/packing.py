@@ -171,8 +171,8 @@ def pack_pieces(pieces: DataFrame, capacity: int, key: list[str], group_pieces:
     Level 0 packs groups of about ``group_pieces`` pieces, by a hash of the key. Each
     group hands at most ``CARRY`` of its sequences that have room on to the next
     level, where ``MERGE`` groups meet; the last level is one group. So a task holds a
-    bounded number of pieces at any input size, and only the last group is left with
-    sequences that nothing could fill.
+    bounded number of pieces at any input size. A group's other sequences with room are
+    final, so there can be more sequences than one search over all pieces would need.
     """
     groups = max(1, -(-pieces.count() // group_pieces))
     spread = F.pmod(F.xxhash64(*key), F.lit(groups))
