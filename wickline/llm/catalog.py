@@ -14,6 +14,7 @@ from wickline.llm.licences import scan_licences
 from wickline.llm.ngram_join import JaccardJoin, jaccard_components
 from wickline.llm.packing import pack_documents
 from wickline.llm.quality import assess
+from wickline.llm.resampling import resample
 from wickline.llm.scratch import fresh_path
 from wickline.llm.sharding import uniform_shards
 from wickline.llm.token_counts import count_tokens
@@ -88,6 +89,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sampled = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return sampled.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Query] = {
     "op1_subword_lattice": op1_subword_lattice,
     "op2_digest_cache": op2_digest_cache,
@@ -99,6 +105,7 @@ QUERIES: dict[str, Query] = {
     "op8_warc_index": op8_warc_index,
     "op9_line_frequency": op9_line_frequency,
     "op10_exact_dedup": op10_exact_dedup,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 STATEMENTS: dict[str, str] = {
