@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import datetime as dt
 import sys
 from pathlib import Path
 
@@ -11,6 +10,8 @@ ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 sys.path.insert(0, str(ROOT / "tests"))
 
+from helpers import clock  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -55,14 +56,6 @@ def make_bars(spark):
     return make
 
 
-def clock(day: int, bar: int, minutes: int = 5, month: int = 3) -> dt.datetime:
-    return dt.datetime(2024, month, 1, 9, 30) + dt.timedelta(days=day, minutes=minutes * bar)
-
-
-def flat(symbol: str, when: dt.datetime, price: float, volume: float | None = 1000.0) -> tuple:
-    return (symbol, when, price, price, price, price, volume)
-
-
 @pytest.fixture(scope="session")
 def random_walk():
     """Seeded walks with gaps in the calendar, a null volume and a flat stretch."""

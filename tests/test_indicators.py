@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from conftest import clock, flat
+from helpers import clock, flat
 from wickline.operators import indicators as I
 from wickline.operators import scan
 from wickline.operators.blocks import with_block, with_history, with_ordinal

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from conftest import clock, flat
+from helpers import clock, flat
 from wickline.operators.outcomes import candidate_outcomes, forward_path, non_overlapping
 from wickline.params import ReversalParams, Risk
 from wickline.plans.backtest import backtest, indexed_bars, price_trades

@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import flat
+from helpers import flat
 from test_options import CHAIN, CONTRACTS, TRADES, contract, trade
 from wickline.operators import contracts as C
 from wickline.operators.asof import asof_prices

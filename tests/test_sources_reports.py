@@ -9,7 +9,7 @@ import glob
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import clock, flat
+from helpers import clock, flat
 from test_options import TRADES, at, trade
 from wickline.functions.text import thousands, two_decimals
 from wickline.operators.blocks import running_total
