@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wickline.llm.bpe import round_trip
+from wickline.llm.collocations import collocations
 from wickline.llm.exact_dedup import exact_dedup
 from wickline.llm.lattice import score_documents
 from wickline.llm.licences import scan_licences
@@ -89,6 +90,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op12_burst_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     sampled = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return sampled.select("doc_id", "n_features", "weight", "score", "rank")
@@ -105,6 +110,7 @@ QUERIES: dict[str, Query] = {
     "op8_warc_index": op8_warc_index,
     "op9_line_frequency": op9_line_frequency,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_burst_collocations": op12_burst_collocations,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
@@ -173,4 +179,35 @@ STATEMENTS: dict[str, str] = {
         g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t.text) AS text_sha256
         FROM t JOIN g ON t.text = g.text""",
+    "op12_burst_collocations": r"""
+        WITH d AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+            FROM documents),
+        p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+        totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+        grams AS (
+            SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS a
+            FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i
+                  FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(ws) >= k)
+            GROUP BY ALL),
+        cand AS (SELECT *, string_split(phrase, ' ') AS ws FROM grams WHERE k >= 2 AND a >= 30),
+        cuts AS (
+            SELECT c.lang, c.phrase, c.a, j, x.a AS l, y.a AS r,
+                   ((2000000::HUGEINT * c.a) // (x.a + y.a))::BIGINT AS score
+            FROM (SELECT *, unnest(range(1, k)) AS j FROM cand) c
+            JOIN grams x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:j], ' ')
+            JOIN grams y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[j + 1:k], ' ')),
+        lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+        inner_phrases AS (
+            SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+            FROM (SELECT lang, ws, a, m, unnest(range(1, k - m + 2)) AS i
+                  FROM cand, (SELECT unnest([2, 3]) AS m) WHERE m < k)
+            GROUP BY ALL),
+        ranked AS (
+            SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+            FROM lowest s LEFT JOIN inner_phrases i ON i.lang = s.lang AND i.phrase = s.phrase
+            WHERE longer IS NULL OR 100 * longer < 80 * a)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
 }
