@@ -194,11 +194,11 @@ STATEMENTS: dict[str, str] = {
             GROUP BY ALL),
         cand AS (SELECT *, string_split(phrase, ' ') AS ws FROM grams WHERE k >= 2 AND a >= 30),
         cuts AS (
-            SELECT c.lang, c.phrase, c.a, j, x.a AS l, y.a AS r,
+            SELECT c.lang, c.phrase, c.a, c.j, x.a AS l, y.a AS r,
                    ((2000000::HUGEINT * c.a) // (x.a + y.a))::BIGINT AS score
             FROM (SELECT *, unnest(range(1, k)) AS j FROM cand) c
-            JOIN grams x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:j], ' ')
-            JOIN grams y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[j + 1:k], ' ')),
+            JOIN grams x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:c.j], ' ')
+            JOIN grams y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[c.j + 1:c.k], ' ')),
         lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
         inner_phrases AS (
             SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS longer
