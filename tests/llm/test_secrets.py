@@ -1,0 +1,156 @@
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+import string
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from wickline.llm import catalog
+from wickline.llm.secrets import KINDS, STEPS, Battery, Judge, infer_encoding, like_text, runs, scan_secrets, serial_correlation, thresholds, uniformity
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"[0-9a-f]+")
+RUN = [re.compile(f"[{c}]{{20,}}") for c in ("A-Za-z0-9", "A-Za-z0-9+/", "A-Za-z0-9_-")]
+
+
+def base_of(text):
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 12]
+    out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m.group()) >= 18]
+    out += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if len(m.group()) >= 16]
+    return sorted(out)
+
+
+def brute_force(texts, rule=Battery()):
+    """Spans per text, with p-values rounded as stated and a plain step-up rule."""
+    seen = np.zeros(256)
+    for t in texts:
+        for b in (t or "").encode():
+            seen[b] += 1
+    judge, tested = Judge(seen, rule), []
+    for k, t in enumerate(texts):
+        spans = sorted({m.span() for r in RUN for m in r.finditer(t or "")})
+        while spans:
+            group, reach = [spans.pop(0)], 0
+            reach = group[0][1]
+            while spans and spans[0][0] < reach:
+                reach = max(reach, spans[0][1])
+                group.append(spans.pop(0))
+            p, a, b = min((judge.p_value(t[a:b]), a, b) for a, b in group)
+            p = min(1.0, p * len(group))
+            if not any(a < e and s < b for s, _, e in base_of(t)):
+                tested.append((k, a, b, math.floor(2 * math.log2(b - a)), 10 ** (max(-400, math.ceil(round(STEPS * math.log10(p), 9))) / STEPS)))
+    by_class = defaultdict(list)
+    for row in tested:
+        by_class[row[3]].append(row)
+    spans = {k: base_of(t or "") for k, t in enumerate(texts)}
+    for rows in by_class.values():
+        ps = sorted(r[4] for r in rows)
+        limit = max((p for i, p in enumerate(ps, 1) if p * len(ps) <= rule.false_share * i * (1 + 1e-12)), default=-1)
+        for k, a, b, _, p in rows:
+            if p <= limit:
+                spans[k].append((a, 3, b))
+    return {k: sorted(s) for k, s in spans.items()}
+
+
+def invented(n, seed=4):
+    rng = random.Random(seed)
+    b64 = string.ascii_letters + string.digits + "+/"
+    make = [
+        lambda: "Donaudampfschifffahrtsgesellschaft",
+        lambda: "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa",
+        lambda: "abcabcabcabcabcabcabcabcabcabcABC123",
+        lambda: "some_long_identifier_name_of_code",
+        lambda: "one/two/three/four/five/six/seven",
+        lambda: "".join(rng.choice(b64) for _ in range(rng.randint(18, 90))),
+        lambda: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(rng.randint(30, 70))),
+        lambda: "".join(rng.choice("0123456789ABCDEF") for _ in range(rng.randint(20, 64))),
+        lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(10, 40))),
+        lambda: "AKIA" + "".join(rng.choice(string.ascii_uppercase + string.digits) for _ in range(rng.choice([13, 14, 16]))),
+        lambda: rng.choice(["PassWord", "api_key", "APIKEY", "token", "secret"]) + rng.choice([": ", "=", "' : \"", " ="]) + "".join(rng.choice(b64 + ".=-") for _ in range(rng.choice([11, 12, 30]))),
+        lambda: "token: secret:abcdefghijkl",
+        lambda: "toKen=abcdefghijklmnop paſſword=abcdefghijklmnop",
+    ]
+    plain = "the quick brown fox naïve 日本語 of and to it is in for on as".split()
+    return [" ".join(rng.choice(make)() if rng.random() < 0.1 else rng.choice(plain) for _ in range(rng.randint(0, 80))) for _ in range(n)]
+
+
+def spans_of(df):
+    return [[tuple(s) for s in r.spans] for r in df.orderBy("doc_id").collect()]
+
+
+def test_against_brute_force(make_docs, odd_texts):
+    texts = odd_texts + invented(400)
+    got = spans_of(scan_secrets(make_docs(list(enumerate(texts))).repartition(3)))
+    wanted = brute_force(texts)
+    for k, text in enumerate(texts):
+        assert got[k] == wanted[k], (text, got[k], wanted[k])
+    assert sum(s[1] == KINDS.index("random") for spans in got for s in spans) > 50
+
+
+def test_registered_query(spark, make_docs, tmp_path):
+    texts = invented(150, seed=6) + [None, ""]
+    make_docs(list(enumerate(texts))).toPandas().to_parquet(tmp_path / "documents.parquet")
+    wanted = brute_force(texts)
+    text_of = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    for r in catalog.QUERIES["op11_randomness_secrets"](spark, str(tmp_path)).collect():
+        base = [s for s in wanted[r.doc_id] if s[1] < 3]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[1] == k for s in base) for k in range(3))
+        assert r.base_sha256 == hashlib.sha256(text_of(base).encode()).hexdigest()
+        assert r.spans == text_of(wanted[r.doc_id]) and r.n_random == len(wanted[r.doc_id]) - len(base)
+
+
+def test_battery_on_known_strings():
+    rng = np.random.default_rng(1)
+    rejected = 0
+    for _ in range(400):
+        v = rng.integers(0, 62, 48)
+        rejected += 3 * min(uniformity(v, 62)[1], runs(v, 62), serial_correlation(v)) < 0.001
+    assert rejected <= 4
+    assert uniformity(np.zeros(40, np.int64), 62)[1] < 1e-9
+    assert runs(np.array([0, 61] * 20), 62) < 1e-6 and runs(np.array([5] * 30), 62) < 1e-6
+    assert serial_correlation(np.arange(40)) < 1e-6 and serial_correlation(np.full(30, 3)) == 0
+
+
+def test_short_strings_cant_be_found_with_small_p():
+    shares = np.array([0.12, 0.1, 0.09, 0.08] + [0.61 / 58] * 58)
+    levels = [like_text(61.0 * n / (n - 1), n, 62, shares) for n in (20, 40, 80, 160)]
+    assert levels == sorted(levels, reverse=True) and levels[0] > 1e-2 > 1e-4 > levels[-1]
+
+
+def test_encodings():
+    assert infer_encoding("00ffa1") == "hex_lower" and infer_encoding("FF00") == "hex_upper" and infer_encoding("GEZDGNBV") == "base32"
+    assert infer_encoding("aB3") == "base62" and infer_encoding("a+/9Z") == "base64" and infer_encoding("a_-9Z") == "base64url"
+    assert infer_encoding("a.b") is None
+
+
+def test_step_up_rule():
+    counts = {(8, -80): 3, (8, -20): 2, (8, 0): 95, (9, 0): 10}
+    assert thresholds(counts, 0.01) == {8: -80}
+    assert thresholds({(8, -60): 100}, 0.01) == {8: -60}
+
+
+def test_false_discoveries_among_ordinary_strings(make_docs):
+    """Long strings made of ordinary letters alone: hardly any is found."""
+    rng = random.Random(7)
+    letters = "eeeeeeeeeeeettttttttaaaaaaaaooooooooiiiiiiinnnnnnnsssssshhhhhhrrrrrrddddllllcccuuummmwwffggyyppbbvk"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(20, 60))) for _ in range(2000)]
+    got = spans_of(scan_secrets(make_docs([(i, " ".join(words[20 * i : 20 * i + 20])) for i in range(100)])))
+    assert sum(map(len, got)) <= 20
+
+
+def test_clashing_columns_repeats_and_empty(spark, make_docs):
+    df = spark.createDataFrame([(1, "secret=abcdefghijkl", "x", 2), (1, "secret=abcdefghijkl", "x", 2), (None, None, "y", 3)], "doc_id long, text string, spans string, base int")
+    assert sorted(map(len, spans_of(scan_secrets(df)))) == [0, 1, 1]
+    assert scan_secrets(make_docs([])).count() == 0
+
+
+@pytest.mark.parametrize("name", ["a.id"])
+def test_dotted_names(spark, name):
+    df = spark.createDataFrame([(1, "passwd=abcdefghijkl")], f"`{name}` long, `t.t` string")
+    assert [len(r.spans) for r in scan_secrets(df, id_col=name, text_col="t.t").collect()] == [1]

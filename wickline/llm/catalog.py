@@ -17,6 +17,7 @@ from wickline.llm.packing import pack_documents
 from wickline.llm.quality import assess
 from wickline.llm.resampling import resample
 from wickline.llm.scratch import fresh_path
+from wickline.llm.secrets import joined_spans, of_kinds, scan_secrets
 from wickline.llm.sharding import uniform_shards
 from wickline.llm.token_counts import count_tokens
 from wickline.llm.warc import archive_pages
@@ -90,6 +91,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    base = ("assign", "access", "hex")
+    counts = {f"n_{k}": F.size(of_kinds(F.col("spans"), (k,))).cast("long") for k in (*base, "random")}
+    return found.select(
+        "doc_id",
+        *[n.alias(name) for name, n in counts.items()],
+        F.sha2(joined_spans(of_kinds(F.col("spans"), base)), 256).alias("base_sha256"),
+        joined_spans(F.col("spans")).alias("spans"),
+    )
+
+
 def op12_burst_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
@@ -110,6 +123,7 @@ QUERIES: dict[str, Query] = {
     "op8_warc_index": op8_warc_index,
     "op9_line_frequency": op9_line_frequency,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_randomness_secrets": op11_randomness_secrets,
     "op12_burst_collocations": op12_burst_collocations,
     "op13_importance_resampling": op13_importance_resampling,
 }
