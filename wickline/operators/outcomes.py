@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickline.functions import pricing as P
-from wickline.operators.blocks import block_window
 from wickline.params import Risk
 
 DAY = ("symbol", "block", "session_date")
@@ -43,78 +44,88 @@ def forward_path(signals: DataFrame, indexed: DataFrame, hold_bars: int) -> Data
 def candidate_outcomes(indexed: DataFrame, signal: Column, risk: Risk) -> DataFrame:
     """One row per eligible signal that lasts at least one bar, with its exit.
 
-    A trade never leaves its day, a day never leaves its block, and an eligible
-    bar has enough successors; so the path is read from a window over the block,
-    and a path cut short by the block end means the next bar is another day.
+    A trade never leaves its day and a day never leaves its block, so a day is searched
+    on its own: a row of its bars, and over their lows and highs a sparse table. Level
+    ``j`` holds the least low and the highest high of the ``2^j`` bars from each place
+    on, and a signal skips in powers of two what touches neither of its barriers. So it
+    finds its first stop or target in O(log hold_bars), and a day costs O(n log
+    hold_bars) for all its signals. Days without a signal are left out before any bar is
+    gathered; a day's row is bounded by its bars.
     """
-    if risk.hold_bars <= 0:
-        path = F.array().cast("array<struct<ts:timestamp,local_ts:timestamp_ntz,day:date,high:double,low:double,close:double>>")
-    else:
-        step = F.struct("ts", "local_ts", F.col("session_date").alias("day"), "high", "low", "close")
-        path = F.collect_list(step).over(block_window().rowsBetween(1, risk.hold_bars))
     atr = F.col("atr") if "atr" in indexed.columns else F.lit(0.0)
-
-    judged = indexed.withColumn("signal", signal).withColumn("path", path)
-    opened = judged.where(F.col("signal").isNotNull() & eligible(risk.hold_bars)).select(
-        *DAY,
-        "ts",
-        "local_ts",
-        F.col("bar_idx").alias("entry_idx"),
-        F.col("signal.side").alias("side"),
+    side, entry = F.col("signal.side"), F.col("close")
+    opens = F.col("signal").isNotNull() & eligible(risk.hold_bars)
+    judged = indexed.withColumn("signal", signal).withColumn("opens", opens)
+    traded = judged.withColumn("day_opens", F.max("opens").over(Window.partitionBy(*DAY))).where("day_opens")
+    plan = F.struct(
+        side.alias("side"),
         F.col("signal.reason").alias("reason"),
-        F.col("close").alias("entry_price"),
         P.trend_label(F.col("ema10"), F.col("ema20")).alias("trend"),
-        atr.alias("atr"),
-        "path",
+        P.target_price(side, entry, risk).alias("target"),
+        P.stop_price(side, entry, atr, risk).alias("stop"),
     )
-    priced = opened.withColumns(
-        {
-            "target": P.target_price(F.col("side"), F.col("entry_price"), risk),
-            "stop": P.stop_price(F.col("side"), F.col("entry_price"), F.col("atr"), risk),
-        }
+    bar = F.struct("ts", "local_ts", "high", "low", "close", "bar_idx", F.when(F.col("opens"), plan).alias("plan"))
+    days = traded.groupBy(*DAY).agg(F.sort_array(F.collect_list(bar)).alias("bars"))
+    return _resolve(days, risk.hold_bars)
+
+
+def _resolve(days: DataFrame, hold_bars: int) -> DataFrame:
+    """The first barrier of each signal of a day. Inside a bar the stop outranks the
+    target; a day that ends sooner than ``hold_bars`` closes the trade."""
+    levels = range(max(hold_bars, 1).bit_length())
+    tables = {}
+    for name, best in (("low", "least"), ("high", "greatest")):
+        # Behind the end the ranges are shorter: zip_with pads with nulls, which least and greatest pass over.
+        halves = f"zip_with(get(acc, j - 1), slice(get(acc, j - 1), shiftleft(1, j - 1) + 1, size(bars)), (x, y) -> {best}(x, y))"
+        first = f"array(transform(bars, b -> b.{name}))"
+        tables[name] = f"aggregate({_ints(levels[1:])}, {first}, (acc, j) -> array_append(acc, {halves}))"
+    # What keeps a trade open: lows above the lower barrier and highs below the upper one.
+    # A barrier that is null is never touched.
+    signals = """filter(transform(bars, (b, i) -> named_struct('at', i, 'bar', b,
+            'room', least({hold}, size(bars) - 1 - i),
+            'lower', coalesce(if(b.plan.side = 'long', b.plan.stop, b.plan.target), double('-inf')),
+            'upper', coalesce(if(b.plan.side = 'long', b.plan.target, b.plan.stop), double('inf')))),
+        e -> e.bar.plan is not null)""".format(hold=max(hold_bars, 0))
+    free = f"""aggregate({_ints(reversed(levels))}, e.at + 1, (p, j) -> if(
+            p + shiftleft(1, j) <= e.at + 1 + e.room and get(get(lows, j), p) > e.lower and get(get(highs, j), p) < e.upper,
+            p + shiftleft(1, j), p)) - e.at - 1"""
+    searched = (
+        days.selectExpr("*", f"{tables['low']} as lows", f"{tables['high']} as highs", f"{signals} as signals")
+        .selectExpr(*DAY, "bars", f"transform(signals, e -> named_struct('e', e, 'free', {free})) as found")
     )
-    return _resolve(priced, risk.hold_bars)
-
-
-def _resolve(priced: DataFrame, hold_bars: int) -> DataFrame:
-    """Earliest event on the path; inside a bar a day change outranks the stop
-    and the stop outranks the target."""
-    stopped = "if(side = 'long', b.low <= stop, b.high >= stop)"
-    reached = "if(side = 'long', b.high >= target, b.low <= target)"
-    event = f"""case when b.day <> session_date then '{DAY_END}'
-                     when {stopped} then '{STOP}'
-                     when {reached} then '{TARGET}' end"""
-    events = f"transform(path, (b, k) -> named_struct('k', k, 'reason', {event}))"
-    found = priced.selectExpr("*", f"get(filter({events}, e -> e.reason is not null), 0) as first")
-    lasting = found.selectExpr(
-        "*",
-        f"coalesce(first.reason, if(size(path) < {hold_bars}, '{DAY_END}', '{TIME}')) as exit_reason",
-        f"""case when first is null then size(path)
-                 when first.reason = '{DAY_END}' then first.k
-                 else first.k + 1 end as bars_held""",
-    ).where("bars_held > 0")
-    return lasting.selectExpr(
+    stopped = "if(f.e.bar.plan.side = 'long', get(bars, f.e.at + 1 + f.free).low <= f.e.bar.plan.stop, get(bars, f.e.at + 1 + f.free).high >= f.e.bar.plan.stop)"
+    outcome = f"""named_struct('e', f.e, 'held', if(f.free < f.e.room, f.free + 1, f.e.room),
+        'exit', get(bars, f.e.at + if(f.free < f.e.room, f.free + 1, f.e.room)),
+        'exit_reason', case when f.free < f.e.room and {stopped} then '{STOP}'
+                            when f.free < f.e.room then '{TARGET}'
+                            when f.e.room >= {hold_bars} then '{TIME}' else '{DAY_END}' end)"""
+    resolved = searched.selectExpr(*DAY, f"inline(filter(transform(found, f -> {outcome}), o -> o.held > 0))")
+    return resolved.selectExpr(
         *DAY,
-        "entry_idx",
-        "entry_idx + bars_held as exit_idx",
-        "ts as entry_time",
-        "get(path, bars_held - 1).ts as exit_time",
-        "local_ts as entry_local",
-        "get(path, bars_held - 1).local_ts as exit_local",
-        "side",
-        "entry_price",
-        f"""case exit_reason when '{STOP}' then stop when '{TARGET}' then target
-                 else get(path, bars_held - 1).close end as exit_price""",
-        "bars_held",
+        "e.bar.bar_idx as entry_idx",
+        "e.bar.bar_idx + held as exit_idx",
+        "e.bar.ts as entry_time",
+        "exit.ts as exit_time",
+        "e.bar.local_ts as entry_local",
+        "exit.local_ts as exit_local",
+        "e.bar.plan.side as side",
+        "e.bar.close as entry_price",
+        f"""case exit_reason when '{STOP}' then e.bar.plan.stop when '{TARGET}' then e.bar.plan.target
+                 else exit.close end as exit_price""",
+        "held as bars_held",
         f"exit_reason = '{TARGET}' as hit_target",
-        "trend",
-        "reason",
+        "e.bar.plan.trend as trend",
+        "e.bar.plan.reason as reason",
         "exit_reason",
-        "target as target_price",
-        "stop as stop_price",
+        "e.bar.plan.target as target_price",
+        "e.bar.plan.stop as stop_price",
     )
 
 
+def _ints(values: Iterable[int]) -> str:
+    return f"cast(array({', '.join(map(str, values))}) as array<int>)"
+
+
 def non_overlapping(candidates: DataFrame) -> DataFrame:
     """Greedy choice by time: take a candidate if no taken one is still open. The
     exit bar of a trade may open the next.
