@@ -157,3 +157,76 @@ def test_ordinals_over_blocks(spark, make_bars, random_walk):
     for _, g in got.groupby("symbol"):
         assert g.sort_values("ts").n.tolist() == list(range(len(g)))
         assert set(g["all"]) == {len(g)}
+
+
+def test_holes_match_pandas(blocking, make_bars):
+    """Missing values at the begin, inside and at the end of segments and blocks."""
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for symbol, missing in (("A", 0.3), ("B", 0.9), ("C", 0.0), ("D", 1.0)):
+        values = [None if rng.random() < missing else round(float(rng.normal(100, 5)), 3) for _ in range(150)]
+        if symbol == "A":
+            values[:7] = [None] * 7
+            values[40:75] = [None] * 35
+        rows += [(symbol, clock(i // 6, i % 6), 1.0, 1.0, 1.0, 1.0, v) for i, v in enumerate(values)]
+        want[symbol] = pd.Series(values, dtype=float)
+    averages = {"slow": ("volume", 1 / 14), "fast": ("volume", 0.7), "same": ("volume", 1.0), "level": ("volume", 0.2)}
+    got = frame(I.ewm(make_bars(rows).repartition(4), averages, levels=("level",)), *averages)
+    for symbol, s in want.items():
+        for name, (_, alpha) in averages.items():
+            close_to(got[symbol][name], s.ewm(alpha=alpha, adjust=False).mean())
+
+
+def test_flat_series_with_holes_stays_flat(blocking, make_bars):
+    rows = [("A", clock(i // 7, i % 7), 1.0, 1.0, 1.0, 1.0, None if i % 3 else 301.7) for i in range(90)]
+    got = frame(I.ewm(make_bars(rows), {"m": ("volume", 0.15)}, levels=("m",)), "m")["A"].m
+    assert set(got) == {301.7}
+
+
+def test_symbol_of_five_thousand_blocks(spark, make_bars):
+    """Three levels: blocks of a day, super-blocks, the symbol."""
+    rng = np.random.default_rng(5)
+    closes = 100 + np.round(rng.normal(0, 1, 5000).cumsum() * 0.1, 3)
+    start = clock(0, 0, month=1)
+    rows = [flat("A", start + pd.Timedelta(days=i), float(c)) for i, c in enumerate(closes)]
+    spark.conf.set("wickline.blockDays", "1")
+    try:
+        got = frame(I.ema(make_bars(rows), {"e": 30}), "e")["A"].e
+        bands = frame(I.rolling(make_bars(rows), "close", 30), "rolling_mean")["A"].rolling_mean
+    finally:
+        spark.conf.unset("wickline.blockDays")
+    close_to(got, pd.Series(closes).ewm(span=30, adjust=False).mean())
+    close_to(bands, pd.Series(closes).rolling(30).mean())
+
+
+@pytest.mark.parametrize("length, days", [(65, 1), (130, 32), (2000, 32), (2000, 7)])
+def test_wide_frames_match_pandas(spark, make_bars, length, days):
+    rng = np.random.default_rng(length)
+    closes = 1e6 + np.round(rng.normal(0, 1, 4600).cumsum(), 3)
+    rows = [("A", clock(i // 300, i % 300, minutes=1), *[float(c)] * 4, None if i == 2500 else float(i % 50)) for i, c in enumerate(closes)]
+    rows += [flat("B", clock(i // 300, i % 300, minutes=1), 301.7) for i in range(2100)]
+    spark.conf.set("wickline.blockDays", str(days))
+    try:
+        bars = make_bars(rows)
+        got = frame(I.rolling(bars, "close", length), "rolling_mean", "rolling_std")
+        volume = frame(I.rolling(bars, "volume", length), "rolling_mean")["A"].rolling_mean
+    finally:
+        spark.conf.unset("wickline.blockDays")
+    want = pd.Series(closes - 1e6).rolling(length)
+    close_to(got["A"].rolling_mean - 1e6, want.mean())
+    np.testing.assert_allclose(got["A"].rolling_std, want.std(ddof=0), rtol=1e-7)
+    assert set(got["B"].rolling_std.dropna()) == {0.0} and set(got["B"].rolling_mean.dropna()) == {301.7}
+    close_to(volume, pd.Series([r[6] for r in rows if r[0] == "A"], dtype=float).rolling(length).mean())
+
+
+def test_days_of_blocks_dont_matter(spark, make_bars, random_walk):
+    """Routing by counts: blocks of one day and of 32 days give the same frames."""
+    bars = make_bars(random_walk("A", 3) + random_walk("B", 4, per_day=2))
+    seen = []
+    for days in ("1", "32"):
+        spark.conf.set("wickline.blockDays", days)
+        try:
+            seen.append(I.bollinger(bars, 9).orderBy("symbol", "ts").toPandas())
+        finally:
+            spark.conf.unset("wickline.blockDays")
+    pd.testing.assert_frame_equal(*seen)

@@ -3,6 +3,8 @@ global windows, list folds, pairwise joins and a recursive walk over the trades.
 
 from __future__ import annotations
 
+import re
+
 from wickline.catalog.rounding import decimals
 from wickline.plans.strategy import LONG_REASON, SHORT_REASON
 
@@ -12,6 +14,15 @@ def _ewm(x: str, alpha: str) -> str:
     return f"case when {x} is not null then list_reduce({series}, lambda a, b: (1 - {alpha}) * a + {alpha} * b) end"
 
 
+def _gapped(alpha: str) -> str:
+    """A mean over a series with holes: its weight decays with every row, found or not."""
+    moved = f"(a.w * (1 - {alpha}) * a.y + {alpha} * b.y) / (a.w * (1 - {alpha}) + {alpha})"
+    step = f"""case when b.y is null then {{'y': a.y, 'w': a.w * (1 - {alpha})}}
+                    when a.y is null then {{'y': b.y, 'w': 1::double}}
+                    else {{'y': {moved}, 'w': 1::double}} end"""
+    return f"list_reduce(list({{'y': x, 'w': 1::double}}) over so_far, lambda a, b: {step}).y"
+
+
 def _bars(lo: str, hi: str, source: str = "local_ticks") -> str:
     inside = f"cast(local_ts as time) >= time '{lo}' {'and' if lo < hi else 'or'} cast(local_ts as time) < time '{hi}'"
     return f"""
@@ -268,6 +279,15 @@ STEPS: dict[str, str] = {
         where example <= 3""",
 }
 
+# The same steps over bars of a minute, in the session and around the clock.
+for _suffix, _lo, _hi in (("_1m", "09:30:00", "16:00:00"), ("_day", "00:00:00", "23:59:00")):
+    STEPS[f"bars{_suffix}"] = _bars(_lo, _hi).replace("interval 30 minute", "interval 1 minute")
+    _again = ["moved", "split", "averaged", "measured", "indexed", "signals_bars", "signals"]
+    for _name in _again:
+        STEPS[f"{_name}{_suffix}"] = re.sub(rf"\b(bars|{'|'.join(_again)})\b", rf"\1{_suffix}", STEPS[_name])
+STEPS["signals_1m_bars"] = "select * from indexed_1m"
+STEPS["candidates_390"] = _outcomes("signals_1m", hold=390, leverage=20.0, target=0.2, mult=2.5)
+
 # Steps that each step reads.
 READS: dict[str, list[str]] = {}
 
@@ -345,6 +365,17 @@ FINAL: dict[str, str] = {
                p.low as step_low, p.close as step_close
         from signals s join indexed p on p.symbol = s.symbol and p.bar_idx between s.bar_idx + 1 and s.bar_idx + 3""",
     "candidate_outcomes": "select * from candidates",
+    "barrier_trades": "select * from candidates_390",
+    "ewm_gaps": f"""
+        select symbol, local_ts, {_gapped('(1::double / 14)')} as slow, {_gapped('0.3::double')} as fast,
+               last_value(x ignore nulls) over so_far as same
+        from (select *, if(volume % 5 in (0, 3), null, close) as x from bars)
+        window so_far as (partition by symbol order by local_ts rows unbounded preceding)""",
+    "wide_bands": """
+        select symbol, local_ts, mean as bb_basis, mean + 2 * std as bb_upper, mean - 2 * std as bb_lower
+        from (select symbol, local_ts, if(count(*) over w = 500, avg(close) over w, null) as mean,
+                     if(count(*) over w = 500, stddev_pop(close) over w, null) as std
+              from bars_day window w as (partition by symbol order by local_ts rows 499 preceding))""",
     "trades": "select * from trades",
     "long_hold_trades": """
         select symbol, entry_idx, exit_idx, side, exit_reason, bars_held, pnl_usd, r_multiple from long_trades""",
@@ -443,6 +474,9 @@ DOUBLES: dict[str, list[str]] = {
     "rolling_mean_std": ["rolling_mean", "rolling_std"],
     "bollinger": ["bb_basis", "bb_upper", "bb_lower"],
     "ewm_mean": ["slow", "fast", "same"],
+    "ewm_gaps": ["slow", "fast", "same"],
+    "wide_bands": ["bb_basis", "bb_upper", "bb_lower"],
+    "barrier_trades": ["entry_price", "exit_price", "target_price", "stop_price"],
     "ema_10_20": ["ema10", "ema20"],
     "gain_loss": ["prev_close", "delta", "gain", "loss"],
     "rsi": ["rsi"],

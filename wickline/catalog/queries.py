@@ -18,7 +18,7 @@ from wickline.operators.asof import asof_prices
 from wickline.operators.blocks import with_history, with_block
 from wickline.operators.outcomes import candidate_outcomes, eligible, forward_path
 from wickline.operators.settle import settle, settled_path
-from wickline.params import Options
+from wickline.params import Options, Session
 from wickline.plans import report
 from wickline.plans.backtest import backtest, indexed_bars, signals
 from wickline.plans.enrich import apply_lookup, enrich, lookup_chain, lookup_listed
@@ -29,6 +29,7 @@ from wickline.sources.options import read_option_bars_agg, read_option_bars_ohlc
 Query = Callable[[SparkSession, str], DataFrame]
 
 ZONE = SESSION.timezone
+DAY_LONG = Session(start="00:00", end="23:59")
 OPTIONS = Options(provider="polygon", use_real_prices_for_pnl=True)
 
 
@@ -60,6 +61,9 @@ class Market:
         them reads them more than once."""
         return settle(derived.bars(self.spark, self.sf_dir))
 
+    def minute_bars(self, session: Session) -> DataFrame:
+        return settle(build_bars(self.ticks(), "1 minute", session, price="price", order="event_id"))
+
     def strategy(self) -> BandReversal:
         return BandReversal(STRATEGY)
 
@@ -136,6 +140,26 @@ def ewm_mean(m: Market) -> DataFrame:
     return I.ewm(m.bars(), averages).select("symbol", "local_ts", *averages)
 
 
+def ewm_gaps(m: Market) -> DataFrame:
+    """Means of a close that is missing on many bars."""
+    x = "if(volume % 5 in (0, 3), null, close)"
+    averages = {"slow": (x, 1 / 14), "fast": (x, 0.3), "same": (x, 1.0)}
+    return I.ewm(m.bars(), averages).select("symbol", "local_ts", *averages)
+
+
+def wide_bands(m: Market) -> DataFrame:
+    """Bands over 500 bars of a minute, around the clock."""
+    return I.bollinger(m.minute_bars(DAY_LONG), 500).select("symbol", "local_ts", "bb_basis", "bb_upper", "bb_lower")
+
+
+def barrier_trades(m: Market) -> DataFrame:
+    """Outcomes on one-minute bars with up to 390 bars to hold."""
+    risk = replace(RISK, hold_bars=390, option_target_pct=0.2, stop_atr_mult=2.5)
+    indexed = indexed_bars(m.minute_bars(SESSION), m.strategy())
+    found = candidate_outcomes(indexed, m.strategy().signal(), risk)
+    return found.drop("block", "entry_time", "exit_time")
+
+
 def ema_10_20(m: Market) -> DataFrame:
     return I.ema(m.bars(), {"ema10": 10, "ema20": 20}).select("symbol", "local_ts", "ema10", "ema20")
 
@@ -372,6 +396,8 @@ QUERIES: dict[str, Callable[[Market], DataFrame]] = {
     "rolling_mean_std": rolling_mean_std,
     "bollinger": bollinger,
     "ewm_mean": ewm_mean,
+    "ewm_gaps": ewm_gaps,
+    "wide_bands": wide_bands,
     "ema_10_20": ema_10_20,
     "gain_loss": gain_loss,
     "rsi": rsi,
@@ -384,6 +410,7 @@ QUERIES: dict[str, Callable[[Market], DataFrame]] = {
     "candidate_outcomes": candidate_outcomes_,
     "trades": trades,
     "long_hold_trades": long_hold_trades,
+    "barrier_trades": barrier_trades,
     "custom_strategy_trades": custom_strategy_trades,
     "summary": summary,
     "summary_by_symbol": summary_by_symbol,

@@ -7,7 +7,7 @@ length of the history. What must cross a block boundary does so through small
 side tables, one or a few rows per block:
 
 * ``with_history`` copies the last rows before a block into it, for frames that
-  look back a fixed number of rows;
+  look back a fixed number of rows, routed by the number of rows per block;
 * ``with_ordinal`` numbers rows over all blocks from per-block counts;
 * ``running_total`` sums over all earlier rows from per-bucket totals.
 
@@ -42,28 +42,37 @@ def block_window() -> Window:
     return Window.partitionBy(*BLOCK).orderBy("ts")
 
 
+def history_routes(df: DataFrame, rows: int) -> DataFrame:
+    """(symbol, block, later, take): the ``take`` newest rows of a block are among the
+    ``rows`` rows before the block ``later``. From the number of rows per block: a later
+    block wants what lies less than ``rows`` rows before its start."""
+    counts = df.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("n"))
+    by_block = Window.partitionBy("symbol").orderBy("block")
+    earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    ahead = F.collect_list(F.struct(F.col("block").alias("later"), "start")).over(by_block.rowsBetween(1, rows))
+    end = F.col("start") + F.col("n")
+    near = F.filter(ahead, lambda b: b["start"] - end < rows)
+    pairs = starts.withColumn("near", near).select("symbol", "block", end.alias("end"), F.inline("near"))
+    return pairs.select("symbol", "block", "later", (F.lit(rows) - (F.col("start") - F.col("end"))).cast("int").alias("take"))
+
+
 def with_history(df: DataFrame, rows: int) -> DataFrame:
     """Prepend to every block the ``rows`` rows that precede it in its symbol,
     marked ``is_history``.
 
     Only the newest ``rows`` rows of a block can precede a later one; the rank
-    filter keeps those before the shuffle. They are sent to every block that
-    starts within ``rows`` of them, so sparse blocks are bridged too.
+    filter keeps those before the shuffle. They are joined to the blocks that want
+    them (``history_routes``), so sparse blocks are bridged too, and no bar takes part
+    in a window over its symbol.
     """
     own = df.withColumn("is_history", F.lit(False))
     if rows <= 0:
         return own
     newest_first = Window.partitionBy(*BLOCK).orderBy(F.desc("ts"))
-    tails = df.withColumn("age", F.row_number().over(newest_first)).where(F.col("age") <= rows).drop("age")
-    ahead = Window.partitionBy("symbol").orderBy("ts").rowsBetween(1, rows)
-    later_blocks = F.array_remove(F.array_distinct(F.collect_list("block").over(ahead)), F.col("block"))
-    copies = (
-        tails.withColumn("later", later_blocks)
-        .withColumn("block", F.explode("later"))
-        .drop("later")
-        .withColumn("is_history", F.lit(True))
-    )
-    return own.unionByName(copies)
+    tails = df.withColumn("age", F.row_number().over(newest_first)).where(F.col("age") <= rows)
+    routed = tails.join(history_routes(df, rows), list(BLOCK)).where("age <= take").withColumn("block", F.col("later"))
+    return own.unionByName(routed.drop("age", "later", "take").withColumn("is_history", F.lit(True)))
 
 
 def with_ordinal(
@@ -92,6 +101,19 @@ def with_ordinal(
     return numbered.drop("in_block", "block_start", "key_total")
 
 
+def prefix_sums(df: DataFrame, key: str, order: str, amount: str, name: str, fan: int = 1024) -> DataFrame:
+    """(key, order, name): the sum of ``amount`` over all smaller numbers ``order`` of a
+    key, which are unique in it. In two levels, so no task sees all rows of a key: sums
+    of runs of ``fan`` numbers, then sums inside a run."""
+    run = F.floor(F.col(order) / fan)
+    rows = df.select(key, order, amount, run.alias("run"))
+    runs = rows.groupBy(key, "run").agg(F.sum(amount).alias("run_sum"))
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    run_starts = runs.select(key, "run", F.coalesce(F.sum("run_sum").over(before(key).orderBy("run")), F.lit(0)).alias("run_start"))
+    inside = F.coalesce(F.sum(amount).over(before(key, "run").orderBy(order)), F.lit(0))
+    return rows.withColumn("inside", inside).join(run_starts, [key, "run"]).select(key, order, (F.col("run_start") + F.col("inside")).alias(name))
+
+
 def running_total(
     df: DataFrame,
     name: str,
@@ -109,8 +131,7 @@ def running_total(
     bucket = F.floor(F.unix_seconds(ts) / bucket_seconds)
     rows = df.select("*", bucket.alias("bucket"), amount.alias("amount"))
     sums = rows.groupBy(key, "bucket").agg(F.sum("amount").alias("bucket_sum"))
-    earlier = Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(key, "bucket", F.coalesce(F.sum("bucket_sum").over(earlier), F.lit(0)).alias("bucket_start"))
+    starts = prefix_sums(sums, key, "bucket", "bucket_sum", "bucket_start")
     inside = Window.partitionBy(key, "bucket").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
     summed = rows.select("*", F.sum("amount").over(inside).alias("in_bucket")).join(starts, [key, "bucket"])
     return summed.select(*df.columns, (F.col("bucket_start") + F.col("in_bucket")).alias(name))

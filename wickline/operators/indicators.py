@@ -28,11 +28,10 @@ def add_bands(df: DataFrame, width: float) -> DataFrame:
 
 def rolling(bars: DataFrame, value: str, length: int) -> DataFrame:
     """Rolling mean and population deviation of one column."""
-    x = F.col(value)
-    measures = {"mean": R.frame_mean(x, length), "std": R.frame_std(x, length), "full": R.is_full(x, length)}
-    framed = _looking_back(bars, length - 1, measures)
-    full = {f"rolling_{m}": R.where_full("full", m) for m in ("mean", "std")}
-    return framed.withColumns(full).drop("block", *measures)
+    framed = R.add_frame(with_history(with_block(bars), length - 1), value, length, "frame")
+    full = {f"rolling_{m}": R.where_full("frame_full", f"frame_{m}") for m in ("mean", "std")}
+    own = framed.where(~F.col("is_history")).withColumns(full)
+    return own.drop("is_history", "block", "frame_full", "frame_mean", "frame_std")
 
 
 def changes(bars: DataFrame) -> DataFrame:
@@ -42,8 +41,9 @@ def changes(bars: DataFrame) -> DataFrame:
 
 
 def ewm(bars: DataFrame, averages: dict[str, tuple[str, float]], levels: tuple[str, ...] = ()) -> DataFrame:
-    """Exponentially weighted means, ``{name: (SQL expression, alpha)}``."""
-    return scan_series(with_block(bars), averages, levels=levels).drop("block")
+    """Exponentially weighted means, ``{name: (SQL expression, alpha)}``. Missing values
+    may come anywhere: a mean stays over them, and its weight decays with each."""
+    return scan_series(with_block(bars), averages, levels=levels, holes=tuple(averages)).drop("block")
 
 
 def ema(bars: DataFrame, spans: dict[str, int], value: str = "close") -> DataFrame:

@@ -55,26 +55,18 @@ class BandReversal:
         p = self.params
         close, volume = F.col("close"), F.col("volume")
         lookback = max(p.bb_length - 1, p.volume_ma_length - 1, 1)
+        history = with_history(with_block(bars), lookback).withColumn("prev_close", R.previous(close))
+        framed = R.add_frame(R.add_frame(history, "close", p.bb_length, "bands"), "volume", p.volume_ma_length, "busy")
         framed = (
-            with_history(with_block(bars), lookback)
-            .withColumns(
-                {
-                    "prev_close": R.previous(close),
-                    "bands_known": R.is_full(close, p.bb_length),
-                    "close_mean": R.frame_mean(close, p.bb_length),
-                    "close_std": R.frame_std(close, p.bb_length),
-                    "volume_known": R.is_full(volume, p.volume_ma_length),
-                    "volume_mean": R.frame_mean(volume, p.volume_ma_length),
-                }
-            )
+            framed
             .where(~F.col("is_history"))
             .select(
                 *bars.columns,
                 "block",
-                "bands_known",
-                R.where_full("bands_known", "close_mean").alias("bb_basis"),
-                R.where_full("bands_known", "close_std").alias("sigma"),
-                R.where_full("volume_known", "volume_mean").alias("volume_sma"),
+                F.col("bands_full").alias("bands_known"),
+                R.where_full("bands_full", "bands_mean").alias("bb_basis"),
+                R.where_full("bands_full", "bands_std").alias("sigma"),
+                R.where_full("busy_full", "busy_mean").alias("volume_sma"),
                 F.expr(R.GAIN).alias("gain"),
                 F.expr(R.LOSS).alias("loss"),
                 F.expr(R.TRUE_RANGE).alias("tr"),
