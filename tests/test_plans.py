@@ -12,6 +12,7 @@ from helpers import flat
 from test_options import CHAIN, CONTRACTS, TRADES, contract, trade
 from wickline.operators import contracts as C
 from wickline.operators.asof import asof_prices
+from wickline.operators.blocks import with_block, with_history
 from wickline.operators.outcomes import forward_path
 from wickline.params import Options, Risk
 from wickline.plans import report
@@ -52,21 +53,40 @@ def windows(plan):
 
 
 def test_backtest_shuffles_bars_once(stored_bars):
-    plan = executed(backtest(stored_bars, BandReversal(), Risk()))
+    made = backtest(stored_bars, BandReversal(), Risk())
+    plan = executed(made)
     assert not any(q in plan for q in QUADRATIC)
-    by_block = re.findall(r"\n[ :|+*()\d-]*Exchange hashpartitioning\(symbol#\d+, block#\d+, \d+\)", plan)
     # The bars with their history, and the few newest rows of each block; the second
-    # pass of the scan reads the first of these again.
-    assert len(by_block) == 2
+    # pass of the scan reads the first of these again. All else that moves by block are
+    # side tables of a row per block.
+    assert len([c for c in exchanged(made, "symbol, block") if "close" in c]) == 2
     assert "ReusedExchange" in plan
-    assert "WindowGroupLimit" in plan and "Python" not in plan
+    assert "Python" not in plan
+    assert "WindowGroupLimit" in planned(with_history(with_block(stored_bars), 19))
 
 
-def test_only_side_tables_are_partitioned_by_symbol_alone(stored_bars):
-    plan = planned(indexed_bars(stored_bars, BandReversal()))
-    alone = re.findall(r"Window \[([^\n]*?)\], \[symbol#\d+\], \[", plan)
-    # Routing of the newest rows of each block is the only one.
-    assert alone and all("collect_list(block" in w for w in alone)
+def exchanged(df, keys):
+    """The columns of each exchange by ``keys`` in the plan that has run."""
+    text = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    text = re.sub(r"#\d+L?", "", text)
+    tree = text.split("Initial Plan")[0].split("\n\n(")[0]
+    nodes = set(re.findall(r"\((\d+)\)", tree))
+    found = re.findall(r"\n\((\d+)\) Exchange\nInput \[\d+\]: \[(.*?)\]\nArguments: hashpartitioning\(" + keys + r", \d+\)", text)
+    return [columns.split(", ") for n, columns in found if n in nodes]
+
+
+def test_no_bar_is_partitioned_by_symbol_alone(stored_bars):
+    made = backtest(stored_bars, BandReversal(), Risk())
+    made.collect()
+    alone = exchanged(made, "symbol")
+    assert alone and not any("close" in columns or "ts" in columns for columns in alone)
+
+
+def test_only_days_with_signals_are_gathered(stored_bars):
+    plan = planned(backtest(stored_bars, BandReversal(), Risk(hold_bars=390)))
+    gathered = [line for line in plan.splitlines() if "collect_list(" in line and "low" in line]
+    assert gathered and all("session_date" in line for line in gathered)
+    assert re.search(r"Filter [^\n]*day_opens", plan)
 
 
 def test_scan_reads_only_bar_columns(stored_bars):
