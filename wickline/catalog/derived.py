@@ -89,3 +89,48 @@ def option_bars(contracts: DataFrame, bars: DataFrame) -> DataFrame:
     )
     close = F.round(1 + 0.1 * F.col("dte") + F.greatest(inside, F.lit(0.0)), 4)
     return traded.select("ticker", F.unix_millis("ts").alias("t"), close.alias("c"))
+
+
+def odd_contracts(bars: DataFrame) -> DataFrame:
+    """Listings with every way to fail: a symbol without any, one whose only expiry is a
+    week before the end of the month, Fridays for the others; days without a listing, and days whose
+    strikes are all on the wrong side of the price."""
+    days = bars.groupBy("symbol", "session_date").agg(F.floor(F.min_by("open", "ts")).alias("atm"))
+    friday = F.next_day("session_date", "Fri")
+    fridays = F.array(friday, F.date_add(friday, 7), F.date_add(friday, 14))
+    once = F.array(F.date_sub(F.last_day("session_date"), 7))
+    listed = (
+        days.where("symbol <> 'error' and day(session_date) % 5 <> 0")
+        .withColumn("expiration", F.explode(F.when(F.col("symbol") == "signup", once).otherwise(fridays)))
+        .withColumn("contract_type", F.explode(F.array(F.lit("call"), F.lit("put"))))
+        .withColumn("off", F.explode(F.sequence(F.lit(-6), F.lit(6))))
+    )
+    wrong = F.when(F.dayofmonth("session_date") % 7 == 0, F.when(F.col("contract_type") == "call", -80).otherwise(80)).otherwise(0)
+    listed = listed.withColumn("strike", F.col("atm") + F.col("off") + wrong)
+    kind = F.when(F.col("contract_type") == "call", "C").otherwise("P")
+    ticker = F.concat(F.lit("O:"), "symbol", F.date_format("expiration", "yyMMdd"), kind, F.col("strike").cast("string"))
+    return listed.select(
+        F.col("symbol").alias("underlying"),
+        "contract_type",
+        F.col("session_date").alias("as_of"),
+        F.date_format("expiration", "yyyy-MM-dd").alias("expiration_date"),
+        F.col("strike").cast("string").alias("strike_price"),
+        F.when(F.col("strike") % 11 != 0, ticker).alias("ticker"),
+    )
+
+
+def odd_option_bars(contracts: DataFrame, bars: DataFrame) -> DataFrame:
+    """Bars of each contract on all days of the fortnight before its expiry: some strikes
+    never trade, some trade without a price, some only before eleven."""
+    kept = contracts.where("ticker is not null and cast(strike_price as bigint) % 5 <> 0")
+    priced = kept.select(
+        F.col("underlying").alias("symbol"), "contract_type", "ticker", "expiration_date", F.col("strike_price").cast("bigint").alias("strike")
+    ).distinct()
+    ahead = priced.withColumn("session_date", F.explode(F.sequence(F.date_sub(F.col("expiration_date").cast("date"), 14), F.col("expiration_date").cast("date"))))
+    spot = bars.select("symbol", "session_date", "ts", "local_ts", F.col("close").alias("spot"))
+    joined = ahead.join(spot, ["symbol", "session_date"])
+    traded = joined.where("if(strike % 3 = 1, hour(local_ts) < 11, (hour(local_ts) + strike) % 4 <> 0)")
+    inside = F.when(F.col("contract_type") == "call", F.col("spot") - F.col("strike")).otherwise(F.col("strike") - F.col("spot"))
+    left = F.datediff(F.col("expiration_date").cast("date"), "session_date")
+    close = F.when(F.col("strike") % 7 != 3, F.round(1 + 0.1 * left + F.greatest(inside, F.lit(0.0)), 4))
+    return traded.select("ticker", F.unix_millis("ts").alias("t"), close.alias("c"))

@@ -226,7 +226,8 @@ STEPS: dict[str, str] = {
     "found": """
         select r.*, p.ticker, q.entry_quote, q.exit_quote,
                case when not exists (select 1 from contracts c where c.underlying = r.symbol
-                                     and c.contract_type = r.contract_type and c.as_of = r.session_date)
+                                     and c.contract_type = r.contract_type and c.as_of = r.session_date
+                                     and c.expiration between r.session_date and r.session_date + 14)
                          then 'reference_api_error:reference_empty'
                     when p.symbol is null then 'contract_not_found'
                     when p.ticker is null then 'missing_contract_ticker'
@@ -288,6 +289,35 @@ for _suffix, _lo, _hi in (("_1m", "09:30:00", "16:00:00"), ("_day", "00:00:00",
 STEPS["signals_1m_bars"] = "select * from indexed_1m"
 STEPS["candidates_390"] = _outcomes("signals_1m", hold=390, leverage=20.0, target=0.2, mult=2.5)
 
+# The look-ups over listings and quotes with which they end in every possible way.
+_FRIDAYS = "[session_date + cast(1 + (4 - dayofweek(session_date) + 7) % 7 as integer) + 7 * k for k in [0, 1, 2]]"
+STEPS["contracts_odd"] = """
+    select symbol as underlying, contract_type, session_date as as_of, expiration, cast(strike as double) as strike,
+           if(strike % 11 = 0, null, 'O:' || symbol || strftime(expiration, '%y%m%d')
+              || if(contract_type = 'call', 'C', 'P') || strike) as ticker
+    from (select symbol, session_date, contract_type, unnest(expiries) as expiration,
+                 atm + off + case when day(session_date) % 7 <> 0 then 0 when contract_type = 'call' then -80 else 80 end as strike
+          from (select symbol, cast(local_ts as date) as session_date, cast(floor(arg_min(open, local_ts)) as bigint) as atm
+                from bars group by all),
+               lateral (select if(symbol = 'signup', [last_day(session_date) - 7], FRIDAYS) as expiries),
+               (select unnest(['call', 'put']) as contract_type), (select unnest(range(-6, 7)) as off)
+          where symbol <> 'error' and day(session_date) % 5 <> 0)""".replace("FRIDAYS", _FRIDAYS)
+STEPS["quotes_odd"] = """
+    select c.ticker, cast(b.local_ts as date) as session_date,
+           timezone('UTC', timezone('America/New_York', b.local_ts)) as ts,
+           if(c.strike % 7 = 3, null, round(1 + 0.1 * (c.expiration - cast(b.local_ts as date))
+              + greatest(if(c.contract_type = 'call', b.close - c.strike, c.strike - b.close), 0), 4)) as close
+    from (select distinct underlying, contract_type, expiration, strike, ticker from contracts_odd) c
+    join bars b on b.symbol = c.underlying and cast(b.local_ts as date) between c.expiration - 14 and c.expiration
+    where c.ticker is not null and c.strike % 5 <> 0
+      and if(c.strike % 3 = 1, hour(b.local_ts) < 11, (hour(b.local_ts) + c.strike) % 4 <> 0)"""
+_odd = ["chain", "pairs", "picks", "prices", "found", "enriched", "expiries", "strikes", "reachable", "chain_prices", "chain_found"]
+for _name in _odd:
+    STEPS[f"{_name}_odd"] = re.sub(rf"\b(contracts|quotes|{'|'.join(_odd)})\b(?! as)", r"\1_odd", STEPS[_name])
+STEPS["enriched_chain_odd"] = (
+    STEPS["enriched_odd"].replace("polygon_real", "yahoo_real").replace("from found_odd", "from chain_found_odd")
+)
+
 # Steps that each step reads.
 READS: dict[str, list[str]] = {}
 
@@ -406,6 +436,19 @@ FINAL: dict[str, str] = {
     "lookup_status_chain": f"""
         select {STATUS_COLUMNS}, if(status = 'ok', 'yahoo_real', 'synthetic') as pricing_mode,
                status as option_lookup_status from chain_found""",
+    "lookup_branches_agg": f"""
+        select {STATUS_COLUMNS}, if(status = 'ok', 'polygon_real', 'synthetic') as pricing_mode,
+               status as option_lookup_status from found_odd""",
+    "lookup_branches_chain": f"""
+        select {STATUS_COLUMNS}, if(status = 'ok', 'yahoo_real', 'synthetic') as pricing_mode,
+               status as option_lookup_status from chain_found_odd""",
+    "nearest_expiry_varied": """
+        select symbol, entry_time, wanted, expiration, days_to_expiry, abs(days_to_expiry) <= 10 as within_reach
+        from expiries_odd""",
+    "repriced_chain": f"select {REPRICED} from enriched_chain_odd",
+    "volume_gate_level": """
+        select symbol, side, count(*) as signals from signals where rel_volume >= 0.8 and volume_sma >= 1.4 group by all""",
+    "eligible_signals": "select symbol, local_ts, bar_idx, bar_idx < n - 391 as eligible from signals_1m",
     "repriced_trades": f"select {REPRICED} from enriched",
     "real_only": f"select {REPRICED} from enriched where option_lookup_status = 'ok'",
     "enriched_summary": _summary("enriched", "trend, pricing_mode"),

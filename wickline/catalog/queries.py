@@ -79,6 +79,12 @@ class Market:
         listed = derived.option_contracts(bars)
         return backtest(bars, self.strategy(), RISK), listed, derived.option_bars(listed, bars)
 
+    def odd_options(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The same with look-ups that end in every possible way."""
+        bars = self.bars()
+        listed = settle(derived.odd_contracts(bars))
+        return settle(backtest(bars, self.strategy(), RISK)), listed, settle(derived.odd_option_bars(listed, bars))
+
 
 def bars_30m(m: Market) -> DataFrame:
     return derived.bars(m.spark, m.sf_dir)
@@ -202,6 +208,18 @@ def volume_gate(m: Market) -> DataFrame:
     return signals(m.bars(), gated).groupBy("symbol", "side").agg(F.count(F.lit(1)).alias("signals"))
 
 
+def volume_gate_level(m: Market) -> DataFrame:
+    """Signals that need a busy average as well."""
+    gated = BandReversal(replace(STRATEGY, min_rel_volume=0.8, min_volume_sma=1.4))
+    return signals(m.bars(), gated).groupBy("symbol", "side").agg(F.count(F.lit(1)).alias("signals"))
+
+
+def eligible_signals(m: Market) -> DataFrame:
+    """Signals on one-minute bars that leave room for 390 more, and those that don't."""
+    found = signals(m.minute_bars(SESSION), m.strategy())
+    return found.select("symbol", "local_ts", "bar_idx", eligible(390).alias("eligible"))
+
+
 def forward_path_(m: Market) -> DataFrame:
     indexed = settle(m.indexed())
     found = indexed.where(m.strategy().signal().isNotNull())
@@ -331,6 +349,36 @@ def lookup_status_chain(m: Market) -> DataFrame:
     return apply_lookup(found, "yahoo").select(*STATUS)
 
 
+def lookup_branches_agg(m: Market) -> DataFrame:
+    """Every status of the look-up among listings."""
+    made, listed, quoted = m.odd_options()
+    found = lookup_listed(made, read_option_contracts(listed), read_option_bars_agg(quoted, ZONE), OPTIONS, ZONE)
+    return apply_lookup(found, "polygon").select(*STATUS)
+
+
+def lookup_branches_chain(m: Market) -> DataFrame:
+    """Every status of the look-up in chains."""
+    made, listed, quoted = m.odd_options()
+    chain = read_option_chain(derived.option_chain(listed))
+    found = lookup_chain(made, chain, read_option_bars_agg(quoted, ZONE), OPTIONS, ZONE)
+    return apply_lookup(found, "yahoo").select(*STATUS)
+
+
+def nearest_expiry_varied(m: Market) -> DataFrame:
+    """Expiries near, far and missing."""
+    made, listed, _ = m.odd_options()
+    found = C.nearest_expiry(C.with_request(made, OPTIONS.dte_target_days, ZONE), read_option_chain(derived.option_chain(listed)), ZONE)
+    return found.select("symbol", "entry_time", "wanted", "expiration", "days_to_expiry", C.within_reach().alias("within_reach"))
+
+
+def repriced_chain(m: Market) -> DataFrame:
+    """Trades enriched from chains, with real prices where there are."""
+    made, listed, quoted = m.odd_options()
+    chain = read_option_chain(derived.option_chain(listed))
+    opts = replace(OPTIONS, provider="yahoo")
+    return enrich(made, chain, read_option_bars_agg(quoted, ZONE), opts, RISK, ZONE).select(*REPRICED)
+
+
 def _enriched(m: Market, opts: Options) -> DataFrame:
     made, listed, quoted = m.options()
     return enrich(made, read_option_contracts(listed), read_option_bars_agg(quoted, ZONE), opts, RISK, ZONE)
@@ -406,6 +454,8 @@ QUERIES: dict[str, Callable[[Market], DataFrame]] = {
     "prepared": prepared,
     "signals": signals_,
     "volume_gate": volume_gate,
+    "volume_gate_level": volume_gate_level,
+    "eligible_signals": eligible_signals,
     "forward_path": forward_path_,
     "candidate_outcomes": candidate_outcomes_,
     "trades": trades,
@@ -424,6 +474,10 @@ QUERIES: dict[str, Callable[[Market], DataFrame]] = {
     "kth_otm_strike_clamp": _kth_strike(99),
     "asof_price": asof_price,
     "lookup_status_agg": lookup_status_agg,
+    "lookup_branches_agg": lookup_branches_agg,
+    "lookup_branches_chain": lookup_branches_chain,
+    "nearest_expiry_varied": nearest_expiry_varied,
+    "repriced_chain": repriced_chain,
     "lookup_status_chain": lookup_status_chain,
     "repriced_trades": repriced_trades,
     "real_only": real_only,
