@@ -51,7 +51,7 @@ def rows_with_common_line():
 
 
 def test_lines_above_the_limits(spark):
-    rules = QualityRules(line_docs=5, line_share=0.5, keep_share=0.2)
+    rules = QualityRules(line_docs=5, keep_share=0.2)
     df = spark.createDataFrame(rows_with_common_line(), "doc_id long, text string, source string")
     got = {r.id: r for r in assess(df, rules).collect()}
     assert len(got) == df.count()
@@ -63,7 +63,7 @@ def test_lines_above_the_limits(spark):
 
 
 def test_applied_rules(spark):
-    rules = QualityRules(line_docs=5, line_share=0.5, keep_share=0.2)
+    rules = QualityRules(line_docs=5, keep_share=0.2)
     df = spark.createDataFrame(rows_with_common_line(), "doc_id long, text string, source string")
     df = df.selectExpr("*", "length(text) AS n_chars", "'x' AS own_id", "1 AS removed")
     out = apply_rules(df, rules, chars_col="n_chars")
@@ -90,14 +90,22 @@ def test_sql_where_lines_go(spark, make_docs, tmp_path):
     from oracle import connect, difference
     from wickline.llm import catalog
 
-    rows = shared_lines(101, lines=20) + [(1000 + r[0], *r[1:]) for r in shared_lines(100, host="g", lines=20)]
+    rows = shared_lines(11, lines=20) + [(1000 + r[0], *r[1:]) for r in shared_lines(10, host="g", lines=20)]
     make_docs(rows).coalesce(1).toPandas().to_parquet(tmp_path / "documents.parquet")
     query = catalog.QUERIES["op9_line_frequency"]
     assert difference(spark, connect(str(tmp_path)), query, catalog.STATEMENTS["op9_line_frequency"], str(tmp_path)) is None
     got = query(spark, str(tmp_path)).collect()
-    assert sum(not r.kept and not r.base_failed for r in got) == 101 and all(r.kept for r in got if r.doc_id >= 1000)
+    assert sum(not r.kept and not r.base_failed for r in got) == 11 and all(r.kept for r in got if r.doc_id >= 1000)
 
 
 def test_near_copies_above_the_limits_are_all_depleted(make_docs):
-    got = apply_rules(make_docs(shared_lines(101, lines=20) + [(500, "w " + " ".join(f"v{j}" for j in range(20)), "en", "h", None)]))
+    got = apply_rules(make_docs(shared_lines(11, lines=20) + [(500, "w " + " ".join(f"v{j}" for j in range(20)), "en", "h", None)]))
     assert [r.doc_id for r in got.collect()] == [500]
+
+
+def test_one_limit_at_every_size(make_docs):
+    """A line of eleven texts goes whether they are all of its host or few of it."""
+    others = [(1000 + i, " ".join(f"o{i}x{j}" for j in range(12)), "en", "h", None) for i in range(1500)]
+    for rest in ([], others):
+        got = {r.id: r.removed for r in assess(make_docs(shared_lines(11) + rest)).collect()}
+        assert all(got[str(i)] == [0] for i in range(11)) and sum(x is not None for x in got.values()) == 11

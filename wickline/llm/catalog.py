@@ -171,10 +171,7 @@ STATEMENTS: dict[str, str] = {
         full_lines AS (SELECT *, array_to_string(lw, ' ') AS normal FROM lines WHERE len(lw) > 0),
         dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM full_lines GROUP BY doc_id),
         common AS (
-            SELECT host, normal FROM full_lines JOIN
-                (SELECT host, count(DISTINCT text) AS of_host FROM d GROUP BY host) USING (host)
-            GROUP BY host, normal, of_host
-            HAVING count(DISTINCT text) > 100 AND count(DISTINCT text) > 0.01 * of_host),
+            SELECT host, normal FROM full_lines GROUP BY host, normal HAVING count(DISTINCT text) > 10),
         cut AS (SELECT doc_id, sum(len(lw)) AS n FROM full_lines JOIN common USING (host, normal) GROUP BY doc_id),
         counted AS (
             SELECT doc_id, len(ws)::BIGINT AS n_words,

@@ -21,15 +21,15 @@ SYMBOLS = b"#*$%&|<>"
 @dataclass(frozen=True)
 class QualityRules:
     """min_words, max_repeat: a document fails with fewer words, or a larger share of
-    words in repeated windows. A line is above the limits of its host when more than
-    ``line_docs`` documents and more than ``line_share`` of the host's documents hold
-    it. A document is depleted when less than ``keep_share`` of its words is left."""
+    words in repeated windows. A line is above the limit when more than ``line_docs``
+    distinct texts of a host hold it, whatever the size of the host: with as many, it is
+    the host's and not a document's. A document is depleted when less than
+    ``keep_share`` of its words is left."""
 
     min_words: int = 10
     max_repeat: float = 0.2
     window: int = 5
-    line_docs: int = 100
-    line_share: float = 0.01
+    line_docs: int = 10
     keep_share: float = 0.2
 
 
@@ -112,10 +112,10 @@ def _identity(id_col: str, text_col: str, host_col: str) -> dict[str, Column]:
 
 def assess(df: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row per row of ``df``: id, host, digests, counts, ``removed`` (numbers of
-    the lines above the limits, null if none), ``base_failed`` and ``kept``.
+    the lines above the limit, null if none), ``base_failed`` and ``kept``.
 
     A line counts once per distinct text of a host, so exact copies of a document
-    don't make its lines look common. Near copies count each: a group above the limits
+    don't make its lines look common. Near copies count each: a group above the limit
     loses its shared lines, and with them all its documents if too little is left. The text is read once; all later steps read a
     table of counts and line digests. Null texts are empty and fail; a null host is
     the host ``''``; ties don't occur, as all rules are thresholds.
@@ -128,13 +128,7 @@ def assess(df: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "d
     profiles = written(rows.mapInArrow(_profiler(rules.window), _PROFILE), "profiles")
     lines = profiles.select("row_id", "host", "digest_a", "digest_b", F.inline("lines"))
     held = lines.groupBy("host", "hash").agg(F.countDistinct("digest_a", "digest_b").alias("docs"))
-    hosts = profiles.groupBy("host").agg(F.countDistinct("digest_a", "digest_b").alias("of"))
-    common = (
-        held.filter(F.col("docs") > rules.line_docs)
-        .join(hosts, "host")
-        .filter(F.col("docs") > rules.line_share * F.col("of"))
-        .select("host", "hash")
-    )
+    common = held.filter(F.col("docs") > rules.line_docs).select("host", "hash")
     cut = (
         lines.join(common, ["host", "hash"])
         .groupBy("row_id")
@@ -155,7 +149,7 @@ def assess(df: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "d
 
 def apply_rules(df: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str | None = None) -> DataFrame:
     """The rows of ``df`` that the rules keep, their texts without the lines above the
-    limits; ``chars_col`` gets the new length of a changed text. Columns as in ``df``.
+    limit; ``chars_col`` gets the new length of a changed text. Columns as in ``df``.
 
     Rows of equal id, host and text have one verdict, so repeated rows stay repeated.
     """
