@@ -15,8 +15,8 @@ from wickline.llm import words as W
 from wickline.llm.scratch import written
 
 GROUP_PIECES = 8_000
-MERGE = 16
-CARRY = 64
+GAIN = 0.99
+LEVELS = 30
 ENCODE_BYTES = 2 << 20
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -140,21 +140,18 @@ def _tokenise(name: str, capacity: int, end_id: int):
     return run
 
 
-def _packer(capacity: int, level: int, carry: int):
-    """One group's pieces into sequences; those of the ``carry`` least full ones that
-    have room stay open for the next level."""
+def _packer(capacity: int, level: int):
+    """One group's pieces into sequences; those that have room are open."""
 
     def run(table: pa.Table) -> pa.Table:
         lengths = table.column("length").to_pylist()
         group = table.column("group")[0].as_py()
         bins = pack(lengths, capacity)
-        fill = [sum(lengths[i] for i in b) for b in bins]
-        opened = {b for b in sorted(range(len(bins)), key=fill.__getitem__)[:carry] if fill[b] < capacity}
         sequence, offset, is_open = ([0] * len(lengths) for _ in range(3))
         for b, items in enumerate(bins):
-            at = 0
+            at, has_room = 0, int(sum(lengths[i] for i in items) < capacity)
             for i in items:
-                sequence[i], offset[i], is_open[i] = level << 58 | group << 24 | b, at, int(b in opened)
+                sequence[i], offset[i], is_open[i] = level << 58 | group << 24 | b, at, has_room
                 at += lengths[i]
         added = {"sequence_id": sequence, "offset": offset, "open": is_open}
         for name, values in added.items():
@@ -168,26 +165,28 @@ def pack_pieces(pieces: DataFrame, capacity: int, key: list[str], group_pieces:
     """``pieces`` (a written table with ``length`` and the ``key`` columns) with
     ``sequence_id`` and ``offset``.
 
-    Level 0 packs groups of about ``group_pieces`` pieces, by a hash of the key. Each
-    group hands at most ``CARRY`` of its sequences that have room on to the next
-    level, where ``MERGE`` groups meet; the last level is one group. So a task holds a
-    bounded number of pieces at any input size. A group's other sequences with room are
-    final, so there can be more sequences than one search over all pieces would need.
+    Each level packs groups of about ``group_pieces`` pieces, dealt anew by a hash of
+    the key, so a task holds a bounded number at any input size. Full sequences are
+    final; the pieces of all others, whatever their number, go on to the next level,
+    where they meet those of other groups. It ends with one group, when fewer sequences
+    are impossible, or when a level neither had fewer groups to pack nor left at least
+    1 % fewer sequences with room than the one before: what is left can't be combined.
     """
-    groups = max(1, -(-pieces.count() // group_pieces))
-    spread = F.pmod(F.xxhash64(*key), F.lit(groups))
-    todo, level, done = pieces.withColumn("group", spread), 0, []
+    groups, level, done, before = max(1, -(-pieces.count() // group_pieces)), 0, [], None
+    todo = pieces
     while True:
+        todo = todo.withColumn("group", F.pmod(F.xxhash64(F.lit(level), *key), F.lit(groups)))
         schema = ", ".join(f"`{n}` {t}" for n, t in todo.drop("group").dtypes) + ", sequence_id long, offset long, open long"
-        last = groups == 1
-        packed = todo.groupBy("group").applyInArrow(_packer(capacity, level, 0 if last else CARRY), schema)
-        if last:
+        packed = written(todo.groupBy("group").applyInArrow(_packer(capacity, level), schema), "packed")
+        left = packed.filter("open = 1")
+        n, bins, size = left.agg(F.count("*"), F.count_distinct("sequence_id"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        fewer = max(1, -(-n // group_pieces))
+        stuck = before is not None and fewer >= groups and bins > GAIN * before
+        if groups == 1 or bins <= -(-size // capacity) or stuck or level == LEVELS:
             done.append(packed)
             break
-        packed = written(packed, "packed")
         done.append(packed.filter("open = 0"))
-        groups, level = -(-groups // MERGE), level + 1
-        todo = packed.filter("open = 1").drop("sequence_id", "offset", "open").withColumn("group", F.pmod(F.xxhash64(*key), F.lit(groups)))
+        todo, groups, level, before = left.drop("sequence_id", "offset", "open"), fewer, level + 1, bins
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
