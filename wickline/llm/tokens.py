@@ -4,26 +4,30 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
+from wickline.llm import words as W
+
 WORD_BPE = "word_bpe_49k.json"
 
 # Fixed values of word_bpe_49k.json: its pattern of words and the mark of a word's last token.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 WORD_END = "</w>"
 
-# str.split() also splits at these controls, the tokenizer doesn't; "<|" may begin a special string.
+# Controls that some splits at white space part at, the tokenizer doesn't; "<|" may begin a special string.
 WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 # Characters that normalisation leaves alone but for lowering, one by one.
 PLAIN = re.compile("[\x21-\x7e\xa1-įı-ſ]+")
 
 WORD_ENTRIES = 400_000
 CHUNK_ENTRIES = 150_000
-JOINED = 400
+JOINED = 100
 
 
 def only_whole(text: str) -> bool:
@@ -50,56 +54,105 @@ def load(name: str) -> Tokenizer:
     return tokenizer
 
 
+class Recent:
+    """A bounded dictionary of two generations: when the young one is full it becomes
+    the old one, and what is asked for again moves to the young one. So what comes often
+    stays, whatever passes through."""
+
+    def __init__(self, entries: int):
+        self.entries = entries
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def __len__(self) -> int:
+        return len(self.young) + len(self.old)
+
+    def found(self, keys: list[str]) -> list[bytes | None]:
+        out = list(map(self.young.get, keys))
+        if self.old:
+            get, young = self.old.get, self.young
+            for i, value in enumerate(out):
+                if value is None:
+                    out[i] = value = get(keys[i])
+                    if value is not None:
+                        young[keys[i]] = value
+        return out
+
+    def add(self, keys: list[str], values: list[bytes]) -> None:
+        if len(self.young) + len(keys) > self.entries:
+            self.old, self.young = self.young, {}
+        self.young.update(zip(keys, values))
+
+
 class ChunkEncoder:
-    """Encodes texts chunk by chunk (runs without white space): no token of a word
-    tokenizer crosses white space, so the ids of a text are those of its chunks.
-    Unknown chunks are cut into words and the words encoded by the library; texts
-    with special strings or odd controls go to the library whole. Both caches are
-    bounded, and emptied when they are full."""
+    """Encodes texts chunk by chunk (runs without ASCII white space): no token of a
+    word tokenizer crosses white space, so the ids of a text are those of its chunks.
+    The distinct chunks of a batch are looked up; unknown ones are cut into words and
+    the words encoded by the library; texts with special strings or odd controls go to
+    the library whole. What is remembered of chunks and words is bounded."""
 
     def __init__(self, name: str = WORD_BPE, words: int = WORD_ENTRIES, chunks: int = CHUNK_ENTRIES):
         self.tokenizer = load(name)
-        self.max_words, self.max_chunks = words, chunks
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith(WORD_END)
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.chunks, self.words = Recent(chunks), Recent(words)
 
     def _library(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn_words(self, words: list[str]) -> None:
-        for i in range(0, len(words), JOINED):
-            group = words[i : i + JOINED]
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """ASCII words are their own byte letters and go to the library's model, without
+        the offsets that its whole pipeline keeps; others are encoded many at a time."""
+        tokenize = self.tokenizer.model.tokenize
+        out = [array("I", [t.id for t in tokenize(w)]).tobytes() if w.isascii() else None for w in words]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i in range(0, len(rest), JOINED):
+            group = [words[k] for k in rest[i : i + JOINED]]
             ids = self._library(" ".join(group))
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(group) and cuts[-1] == len(ids):
-                parts = np.split(ids, cuts[:-1])
+                raw, at = ids.tobytes(), (4 * cuts).tolist()
+                parts = [raw[a:b] for a, b in zip([0, *at], at)]
             else:
-                parts = [self._library(w) for w in group]
-            self.words.update(zip(group, (p.tobytes() for p in parts)))
-
-    def _learn(self, chunks: set[str]) -> None:
-        parted = {c: plain_words(c) for c in chunks}
-        self._learn_words(list({w for words in parted.values() if words for w in words}.difference(self.words)))
-        known = self.words.__getitem__
-        for chunk, words in parted.items():
-            self.chunks[chunk] = self._library(chunk).tobytes() if words is None else b"".join(map(known, words))
+                parts = [self._library(w).tobytes() for w in group]
+            for k, part in zip(rest[i : i + JOINED], parts):
+                out[k] = part
+        return out
+
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        parted = [plain_words(c) for c in chunks]
+        words = list({w for ws in parted if ws for w in ws})
+        ids = dict(zip(words, self.words.found(words)))
+        missing = [w for w, known in ids.items() if known is None]
+        encoded = self._encode_words(missing)
+        self.words.add(missing, encoded)
+        ids.update(zip(missing, encoded))
+        out = [
+            self._library(c).tobytes() if ws is None else ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
+            for c, ws in zip(chunks, parted)
+        ]
+        self.chunks.add(chunks, out)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
-        parted = [None if only_whole(t) else t.split() for t in texts]
-        unknown = set().union(*(p for p in parted if p)).difference(self.chunks)
-        if len(self.chunks) + len(unknown) > self.max_chunks:
-            self.chunks.clear()
-            unknown = set().union(*(p for p in parted if p))
-        if len(self.words) > self.max_words:
-            self.words.clear()
-        self._learn(unknown)
-        known = self.chunks.__getitem__
-        return [self._library(t).tobytes() if p is None else b"".join(map(known, p)) for t, p in zip(texts, parted)]
+        whole = [only_whole(t) for t in texts]
+        found = W.words(pa.array(["" if w else t for t, w in zip(texts, whole)], pa.large_string()))
+        chunks = found.values.to_pylist()
+        parts = self.chunks.found(chunks)
+        unknown = [i for i, part in enumerate(parts) if part is None]
+        for i, part in zip(unknown, self._learn([chunks[i] for i in unknown])):
+            parts[i] = part
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        ids, starts = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(size) - size
+        repeats = size[found.codes]
+        behind = np.cumsum(repeats)
+        at = np.repeat(starts[found.codes] - behind + repeats, repeats) + np.arange(behind[-1] if len(behind) else 0)
+        raw = ids[at].tobytes()
+        ends = (4 * np.cumsum(found.per_text(repeats.astype(float)))).tolist()
+        return [self._library(t).tobytes() if w else raw[a:b] for t, w, a, b in zip(texts, whole, [0, *ends], ends)]
 
 
 @functools.cache
