@@ -227,3 +227,16 @@ def test_candidates_hold_overlaps_that_trades_drop(make_bars):
     candidates = candidate_outcomes(indexed, Marked().signal(), RISK)
     assert candidates.count() == 8
     assert price_trades(non_overlapping(candidates), RISK).count() == 3
+
+
+def test_twenty_thousand_overlapping_candidates(spark):
+    """One day, one run: pointers are doubled, nothing is appended one by one."""
+    rng = random.Random(4)
+    rows = [("A", 0, dt.date(2024, 3, 4), 3 * i, 3 * i + rng.randint(4, 40)) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "symbol string, block int, session_date date, entry_idx bigint, exit_idx bigint")
+    free, want = -1, []
+    for _, _, _, start, end in rows:
+        if start >= free:
+            want.append(start)
+            free = end
+    assert sorted(r.entry_idx for r in non_overlapping(df.repartition(5)).collect()) == want

@@ -20,7 +20,7 @@ from wickline.plans.backtest import backtest, indexed_bars
 from wickline.plans.enrich import lookup_chain, lookup_listed
 from wickline.plans.strategy import BandReversal
 from wickline.sources.bars import build_bars, read_bars
-from wickline.sources.options import read_option_bars_agg, read_option_chain, read_option_contracts
+from wickline.sources.options import listed_on, read_contract_intervals, read_option_bars_agg, read_option_chain, read_option_contracts
 
 ZONE = "America/New_York"
 QUADRATIC = ("CartesianProduct", "BroadcastNestedLoopJoin")
@@ -123,6 +123,13 @@ def test_lookups_form_no_pairs(spark):
     assert not any(q in plan for q in QUADRATIC)
 
 
+def test_intervals_are_met_by_buckets(spark):
+    spans = spark.createDataFrame([("X", "call", "2024-01-01", None, "2024-03-08", "101", "a")], "underlying string, contract_type string, listed_from string, listed_to string, expiration_date string, strike_price string, ticker string")
+    requests = C.with_request(spark.createDataFrame([trade()], TRADES), 2, ZONE)
+    found = listed_on(read_contract_intervals(spans), requests)
+    assert not any(q in planned(found) for q in QUADRATIC) and "bucket" in planned(found)
+
+
 def test_reports_stay_distributed(spark, stored_bars):
     made = spark.createDataFrame([trade()], TRADES)
     assert "WindowGroupLimit" in planned(report.example_trades(made, 2))

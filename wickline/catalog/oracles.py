@@ -318,6 +318,17 @@ STEPS["enriched_chain_odd"] = (
     STEPS["enriched_odd"].replace("polygon_real", "yahoo_real").replace("from found_odd", "from chain_found_odd")
 )
 
+STEPS["spans"] = """
+    select underlying, contract_type, expiration, strike, min(ticker) as ticker, min(as_of) as listed_from,
+           max(as_of) as listed_to from contracts_odd group by all"""
+STEPS["pairs_spans"] = """
+    select r.*, c.expiration, c.strike, c.ticker
+    from requests r join spans c
+      on c.underlying = r.symbol and c.contract_type = r.contract_type
+     and r.session_date between c.listed_from and c.listed_to
+     and c.expiration between r.session_date and r.session_date + 14
+     and if(r.side = 'long', c.strike >= spot, c.strike <= spot)"""
+
 # Steps that each step reads.
 READS: dict[str, list[str]] = {}
 
@@ -421,6 +432,7 @@ FINAL: dict[str, str] = {
         left join ({_summary("trades", "trend")}) using (trend)""",
     "contracts_candidates": """
         select symbol, entry_time, expiration, count(*) as qualifying from pairs group by all""",
+    "contracts_by_interval": _ranked_pairs(1).replace("from pairs", "from pairs_spans"),
     "contract_rank_k": "select * from picks",
     "contract_rank_spill": _ranked_pairs(9),
     "contract_rank_clamp": _ranked_pairs(99),
@@ -535,6 +547,7 @@ DOUBLES: dict[str, list[str]] = {
     "summary": _SUMMARY_DOUBLES,
     "summary_by_symbol": _SUMMARY_DOUBLES,
     "summary_by_trend": _SUMMARY_DOUBLES,
+    "contracts_by_interval": ["strike"],
     "contract_rank_k": ["strike"],
     "contract_rank_spill": ["strike"],
     "contract_rank_clamp": ["strike"],

@@ -24,7 +24,14 @@ from wickline.plans.backtest import backtest, indexed_bars, signals
 from wickline.plans.enrich import apply_lookup, enrich, lookup_chain, lookup_listed
 from wickline.plans.strategy import BandReversal, make_signal
 from wickline.sources.bars import build_bars, read_bars, session_bars
-from wickline.sources.options import read_option_bars_agg, read_option_bars_ohlc, read_option_chain, read_option_contracts
+from wickline.sources.options import (
+    listed_on,
+    read_contract_intervals,
+    read_option_bars_agg,
+    read_option_bars_ohlc,
+    read_option_chain,
+    read_option_contracts,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -297,6 +304,16 @@ def _rank_k(otm_steps: int) -> Callable[[Market], DataFrame]:
     return query
 
 
+def contracts_by_interval(m: Market) -> DataFrame:
+    """The contract of each trade among listings with a first and a last day."""
+    made, listed, _ = m.odd_options()
+    by = ["underlying", "contract_type", "expiration_date", "strike_price"]
+    spans = listed.groupBy(*by).agg(F.min("ticker").alias("ticker"), F.min("as_of").alias("listed_from"), F.max("as_of").alias("listed_to"))
+    requests = C.with_request(made, OPTIONS.dte_target_days, ZONE)
+    found = C.pick_contract(requests, listed_on(read_contract_intervals(spans), requests), 1)
+    return found.select("symbol", "entry_time", "expiration", "strike", "ticker")
+
+
 def _chain_requests(made: DataFrame, chain: DataFrame) -> DataFrame:
     return C.nearest_expiry(_requests(made), chain, ZONE)
 
@@ -469,6 +486,7 @@ QUERIES: dict[str, Callable[[Market], DataFrame]] = {
     "contract_rank_k": _rank_k(1),
     "contract_rank_spill": _rank_k(9),
     "contract_rank_clamp": _rank_k(99),
+    "contracts_by_interval": contracts_by_interval,
     "nearest_expiry": nearest_expiry,
     "kth_otm_strike": _kth_strike(1),
     "kth_otm_strike_clamp": _kth_strike(99),

@@ -131,8 +131,11 @@ def non_overlapping(candidates: DataFrame) -> DataFrame:
     exit bar of a trade may open the next.
 
     Days are independent, as no trade outlives its day. Inside a day, candidates
-    are split where every earlier one is already closed, and only such a run of
-    overlapping candidates is folded.
+    are split where every earlier one is already closed. Within such a run each has a
+    pointer to the first one that starts at or after its exit (binary search), and the
+    chain of the first is what is taken. Pointers are doubled: with the k-th table what
+    is 2^k steps behind is known, and the chain found so far doubles. So n candidates
+    cost O(n log n), however they overlap.
     """
     in_day = "over (partition by symbol, block, session_date order by entry_idx rows between unbounded preceding"
     runs = candidates.selectExpr(
@@ -141,9 +144,12 @@ def non_overlapping(candidates: DataFrame) -> DataFrame:
 
     fields = ["entry_idx", *[c for c in candidates.columns if c not in (*DAY, "entry_idx")]]
     grouped = runs.groupBy(*DAY, "run").agg(F.expr(f"sort_array(collect_list(struct({', '.join(fields)}))) as queue"))
-    taken = """aggregate(queue,
-        named_struct('free', -1L, 'kept', slice(queue, 1, 0)),
-        (acc, c) -> if(c.entry_idx >= acc.free,
-                       named_struct('free', c.exit_idx, 'kept', array_append(acc.kept, c)), acc),
-        acc -> acc.kept)"""
-    return grouped.selectExpr(*DAY, f"inline({taken})")
+    powers = "transform(sequence(1, cast(ceil(log2(size(queue) + 1)) as int)), k -> shiftleft(1, cast(ceil(log2(size(queue) + 1)) as int) - k))"
+    follower = "aggregate(powers, 0, (p, step) -> if(p + step <= size(starts) and get(starts, p + step - 1) < c.exit_idx, p + step, p))"
+    doubled = f"""aggregate(powers, named_struct('next', array_append(transform(queue, c -> {follower}), size(queue)), 'chain', array(0)),
+        (acc, step) -> named_struct(
+            'next', transform(acc.next, i -> get(acc.next, i)),
+            'chain', concat(acc.chain, filter(transform(acc.chain, i -> get(acc.next, i)), i -> i < size(queue)))),
+        acc -> acc.chain)"""
+    prepared = grouped.selectExpr("*", "transform(queue, c -> c.entry_idx) as starts", f"{powers} as powers")
+    return prepared.selectExpr(*DAY, "queue", f"{doubled} as chain").selectExpr(*DAY, "inline(transform(chain, i -> get(queue, i)))")

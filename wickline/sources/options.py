@@ -42,6 +42,37 @@ def read_option_contracts(
     return typed.where(F.col("expiration").isNull() | soon)
 
 
+def read_contract_intervals(raw: DataFrame) -> DataFrame:
+    """Contracts with the days they are listed from and to, both inclusive, a row per
+    contract: (underlying, contract_type, listed_from, listed_to, expiration, strike,
+    ticker). An open end is null. Only the two weeks before an expiry are kept, as no
+    look-up asks for more; contracts without a readable expiry are left out."""
+    typed = raw.select(
+        "underlying",
+        "contract_type",
+        F.col("listed_from").cast("date").alias("listed_from"),
+        F.col("listed_to").cast("date").alias("listed_to"),
+        F.col("expiration_date").try_cast("date").alias("expiration"),
+        F.nanvl(F.col("strike_price").try_cast("double"), F.lit(None)).alias("strike"),
+        F.nullif(F.col("ticker"), F.lit("")).alias("ticker"),
+    ).where("expiration is not null")
+    first = F.greatest("listed_from", F.date_sub("expiration", LISTING_DAYS))  # both pass over nulls
+    clipped = typed.withColumns({"listed_from": first, "listed_to": F.least("listed_to", "expiration")})
+    return clipped.where("listed_from <= listed_to")
+
+
+def listed_on(intervals: DataFrame, requests: DataFrame, bucket_days: int = 16) -> DataFrame:
+    """The contracts of ``intervals`` as listed on the days of ``requests`` (symbol,
+    contract_type, as_of), in the layout of ``read_option_contracts``. An interval is in
+    each bucket of days it meets, two at most; days look into their own bucket, so this
+    is an equi-join, and no contract gets a row for a day that nobody asks for."""
+    bucket = lambda day: F.floor(F.unix_date(day) / bucket_days)
+    spread = intervals.withColumn("bucket", F.explode(F.sequence(bucket("listed_from"), bucket("listed_to"))))
+    days = requests.select(F.col("symbol").alias("underlying"), "contract_type", "as_of").distinct().withColumn("bucket", bucket("as_of"))
+    met = spread.join(days, ["underlying", "contract_type", "bucket"]).where("as_of between listed_from and listed_to")
+    return met.select("underlying", "contract_type", "as_of", "expiration", "strike", "ticker")
+
+
 def read_option_chain(
     raw: DataFrame, underlying: str | None = None, expiration: str | None = None, contract_type: str | None = None
 ) -> DataFrame:
