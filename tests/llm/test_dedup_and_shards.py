@@ -71,3 +71,9 @@ def test_shards_are_uniform_and_native(spark):
         assert (np.abs(np.bincount(part, minlength=4) - 125) < 50).all()
     plan = out._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "ExistingRDD"))
+
+
+def test_string_ids_and_dotted_names(spark):
+    df = spark.createDataFrame([("b", "x"), ("a", "x"), (None, "x"), ("z", None), ("y", "")], "`the.id` string, `a.text` string")
+    got = {r["the.id"]: (r.keep_id, r.group_size, r.kept) for r in exact_dedup(df, id_col="the.id", text_col="a.text", keep="smallest").collect()}
+    assert got == {"b": ("a", 3, False), "a": ("a", 3, True), None: ("a", 3, False), "z": ("y", 2, False), "y": ("y", 2, True)}

@@ -14,17 +14,7 @@ from wickline.llm.scratch import free_name
 
 FAN_IN = 8
 
-RUN_SCHEMA = "run int, digest string, n_bytes long, check_hash long, best long, n long"
-_ARROW = pa.schema(
-    [
-        ("run", pa.int32()),
-        ("digest", pa.string()),
-        ("n_bytes", pa.int64()),
-        ("check_hash", pa.int64()),
-        ("best", pa.int64()),
-        ("n", pa.int64()),
-    ]
-)
+RUN_SCHEMA = "run int, digest string, n_bytes long, check_hash long, best {kind}, n long"
 _KEY = ("digest", "n_bytes", "check_hash")
 
 
@@ -33,7 +23,8 @@ def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     that goes on in the next batch is carried over, so memory holds one batch."""
     carry = None
     for batch in batches:
-        table = pa.Table.from_batches([batch]).cast(_ARROW)
+        table = pa.Table.from_batches([batch])
+        table = table.cast(pa.schema([(f.name, f.type) for f in table.schema]))
         if carry is not None:
             table = pa.concat_tables([carry, table])
         table = table.combine_chunks()
@@ -60,7 +51,8 @@ def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def merge_runs(runs: DataFrame, cells: int, keep: str = "largest", fan_in: int = FAN_IN) -> DataFrame:
     """Digest runs (``RUN_SCHEMA``) to one row per digest, by rounds of exchanges.
 
-    In round r the ``fan_in`` runs of a group each hand out their digests by the next
+    Spark's sort does the merging of the pieces that a partition gets, and ``_collapse``
+    passes over them once. In round r the ``fan_in`` runs of a group each hand out their digests by the next
     digit of the digest, so that partition (group, digits) merges ``fan_in`` sorted
     pieces: ``fan_in`` times fewer groups, ``fan_in`` times more slices, the same
     number of partitions. Every level drops what it has seen. After the last round one
@@ -69,6 +61,7 @@ def merge_runs(runs: DataFrame, cells: int, keep: str = "largest", fan_in: int =
     """
     order = F.col("best").desc_nulls_last() if keep == "largest" else F.col("best").asc_nulls_last()
     hashed = F.abs(F.xxhash64("digest") % F.lit(cells)).cast("int")
+    schema = RUN_SCHEMA.format(kind=runs.schema["best"].dataType.simpleString())
     groups, width = cells, 1
     while groups > 1:
         groups, width = groups // fan_in, width * fan_in
@@ -77,7 +70,7 @@ def merge_runs(runs: DataFrame, cells: int, keep: str = "largest", fan_in: int =
             placed.repartition(cells, "run", "slice")
             .drop("slice")
             .sortWithinPartitions("run", *_KEY, order)
-            .mapInArrow(_collapse, RUN_SCHEMA)
+            .mapInArrow(_collapse, schema)
         )
     return runs
 
@@ -90,18 +83,19 @@ def digest_runs(df: DataFrame, digest: Column, n_bytes: Column, check: Column, i
         digest.alias("digest"),
         n_bytes.alias("n_bytes"),
         check.alias("check_hash"),
-        F.col(id_col).cast("long").alias("best"),
+        F.col(f"`{id_col}`").alias("best"),
         F.lit(1).cast("long").alias("n"),
     )
-    return rows.sortWithinPartitions("run", *_KEY, order).mapInArrow(_collapse, RUN_SCHEMA)
+    schema = RUN_SCHEMA.format(kind=rows.schema["best"].dataType.simpleString())
+    return rows.sortWithinPartitions("run", *_KEY, order).mapInArrow(_collapse, schema)
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", fan_in: int = FAN_IN) -> DataFrame:
     """``df`` with ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``.
 
     Rows are equal when their texts are identical; null counts as the empty text.
-    ``keep`` names the identifier that stays, ``smallest`` or ``largest``; a null
-    identifier loses against any other. The identity of a text is its SHA-256,
+    ``keep`` names the identifier that stays, ``smallest`` or ``largest`` by the order of
+    its type (strings by their bytes); a null identifier loses against any other. The identity of a text is its SHA-256,
     verified at every level by its length in bytes and a second, independent 64-bit
     hash: rows that differ in either aren't merged. Rows that repeat an identifier
     and its text all count in ``group_size`` and are all kept or dropped together.
@@ -113,7 +107,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     cells = fan_in
     while cells < partitions:
         cells *= fan_in
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     keys = {"digest": F.sha2(text, 256), "n_bytes": F.octet_length(text).cast("long"), "check_hash": F.xxhash64(text)}
     runs = digest_runs(df, *keys.values(), id_col, cells, keep)
     merged = merge_runs(runs, cells, keep, fan_in)
@@ -126,7 +120,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     added = {
         "keep_id": F.col(theirs["best"]),
         "group_size": F.col(theirs["n"]),
-        "kept": F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(theirs["best"])),
+        "kept": F.col(f"`{id_col}`").eqNullSafe(F.col(theirs["best"])),
         "text_sha256": F.col(mine["digest"]),
     }
     passed = [F.col(f"`{c}`") for c in df.columns if c.lower() not in added]
