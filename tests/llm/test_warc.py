@@ -89,3 +89,11 @@ def test_empty_table(spark):
 def test_url_keys():
     assert url_key("HTTPS://www.News.Example.com:8080/A?b=1#c") == "com,example,news:8080)/a?b=1"
     assert url_key("http://x.org") == "org,x)/"
+
+
+def test_large_and_negative_ids(spark):
+    """The clock that stands in for dates starts again; ids come back whole."""
+    rows = [(i, f"http://h.com/{k}", "t" * k) for k, i in enumerate([10**12, 2**62, -5, 10**11, None])]
+    got = archive_pages(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r.payload_bytes for r in got) == [0, 1, 2, 3, 4]
+    assert {r.page_id for r in got} == {r[0] for r in rows}

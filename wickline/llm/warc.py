@@ -19,6 +19,7 @@ HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8" + BREAK
 URN = "urn:page:"
 
 MIN_REVISIT = 1000
+CLOCK = 100_000_000_000  # seconds, some 3,000 years
 RANGE_ROWS = 200_000
 
 _INDEX = (
@@ -86,8 +87,10 @@ def _record(marked: DataFrame) -> Column:
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", captured: Column | None = None, min_bytes: int = MIN_REVISIT) -> None:
     """One gzipped WARC file per task. Every row is a record; null payloads are empty,
     a null url is empty, line ends in a url are percent-encoded. ``captured`` is the
-    WARC date as text; without it a clock that ticks one second per page id."""
-    clock = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.coalesce(F.col(f"`{id_col}`"), F.lit(0)).cast("decimal(18,6)"))
+    WARC date as text; without it a clock that ticks one second per page id, and starts again after
+    ``CLOCK`` of them."""
+    seconds = F.pmod(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0)), F.lit(CLOCK))
+    clock = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
     taken = pages.select(
         F.col(f"`{id_col}`").cast("long").alias("page_id"),
         F.col(f"`{url_col}`").alias("url"),
