@@ -6,6 +6,7 @@ from __future__ import annotations
 import re
 
 from wickline.catalog.rounding import decimals
+from wickline.plans.report import MARKS
 from wickline.plans.strategy import LONG_REASON, SHORT_REASON
 
 
@@ -329,6 +330,9 @@ STEPS["pairs_spans"] = """
      and c.expiration between r.session_date and r.session_date + 14
      and if(r.side = 'long', c.strike >= spot, c.strike <= spot)"""
 
+STEPS["large_candidates"] = _outcomes("signals", hold=3, leverage=2000.0, target=0.05, mult=1.0)
+STEPS["large_trades"] = _greedy("large_candidates", leverage=2000.0, target=0.05).replace("ret * 1000", "ret * 250000")
+
 # Steps that each step reads.
 READS: dict[str, list[str]] = {}
 
@@ -491,6 +495,19 @@ FINAL: dict[str, str] = {
         from examples e join indexed i
           on i.symbol = e.symbol and i.bar_idx between e.entry_idx - 20 and e.exit_idx + 20
         where e.example <= 2""",
+    "trade_context_marks": """
+        select e.symbol, e.example, i.bar_idx - greatest(e.entry_idx - 5, 0) as position, i.local_ts, i.close,
+               i.bar_idx = e.entry_idx as is_entry, i.bar_idx = e.exit_idx as is_exit,
+               MARKS
+        from examples e join indexed i
+          on i.symbol = e.symbol and i.bar_idx between e.entry_idx - 5 and e.exit_idx + 5
+        where e.example <= 2""".replace("MARKS", ", ".join(f"e.{c}" for c in MARKS)),
+    "summary_text": f"""
+        select symbol, cast(total as varchar) as setups, cast(total as varchar) as total, cast(wins as varchar) as wins,
+               cast(losses as varchar) as losses, '0' as incomplete, '$' || format('{{:,.2f}}', net_pnl) as net_pnl,
+               format('{{:,.2f}}', total_r) as total_r, printf('%.2f', avg_r) as avg_r,
+               printf('%.2f', win_rate * 100) || '%' as win_rate
+        from ({_summary("large_trades", "symbol")})""",
 }
 
 
@@ -562,6 +579,7 @@ DOUBLES: dict[str, list[str]] = {
     "trade_log_overall": ["underlying_exit_price"],
     "example_trades": ["pnl_usd"],
     "trade_context": ["close", "bb_upper", "bb_basis", "bb_lower", "rsi"],
+    "trade_context_marks": ["close", "option_return_pct", "entry_price", "exit_price"],
 }
 
 

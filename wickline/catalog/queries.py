@@ -451,6 +451,20 @@ def trade_context(m: Market) -> DataFrame:
     return report.trade_context(examples, indexed_bars(bars, m.strategy()))
 
 
+def trade_context_marks(m: Market) -> DataFrame:
+    """The bars around the example trades with what labels them."""
+    bars = m.bars()
+    examples = report.example_trades(backtest(bars, m.strategy(), RISK), 2)
+    found = report.trade_context(examples, indexed_bars(bars, m.strategy()), around=5, marks=True)
+    return found.drop("bb_upper", "bb_basis", "bb_lower", "rsi")
+
+
+def summary_text(m: Market) -> DataFrame:
+    """The summary as text, of trades large enough for thousands."""
+    large = replace(RISK, capital_per_trade=250_000.0, option_leverage=2_000.0)
+    return report.display_summary(backtest(m.bars(), m.strategy(), large), ("symbol",))
+
+
 QUERIES: dict[str, Callable[[Market], DataFrame]] = {
     "running_price": running_price,
     "bars_30m": bars_30m,
@@ -506,6 +520,8 @@ QUERIES: dict[str, Callable[[Market], DataFrame]] = {
     "display_log": display_log,
     "example_trades": example_trades,
     "trade_context": trade_context,
+    "trade_context_marks": trade_context_marks,
+    "summary_text": summary_text,
 }
 
 

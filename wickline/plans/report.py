@@ -117,7 +117,7 @@ def display_summary(trades: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         *by,
         *[F.col(c).cast("string").alias(c) for c in ("setups", "total", "wins", "losses", "incomplete")],
         F.concat(F.lit("$"), thousands(F.col("net_pnl"))).alias("net_pnl"),
-        two_decimals(F.col("total_r")).alias("total_r"),
+        thousands(F.col("total_r")).alias("total_r"),
         two_decimals(F.col("avg_r")).alias("avg_r"),
         percent(F.col("win_rate")).alias("win_rate"),
     )
