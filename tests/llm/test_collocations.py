@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from wickline.llm import catalog
-from wickline.llm.collocations import BurstTrie, Mining, TaskCounter, collocations
+from wickline.llm.collocations import BurstTrie, Mining, Node, TaskCounter, collocations
 
 PARTS = re.compile("[.,;:!?\x0a-\x0d]")
 WORD = re.compile("[^\x20\x09]+")
@@ -75,34 +75,44 @@ def test_registered_query(spark, make_docs, tmp_path):
     assert rows == brute_force(invented(400, seed=8), Mining()) and len(rows) > 20
 
 
+def spilled(trie, down_to):
+    words, n = trie.spill(down_to)
+    keys = list(zip(*(w.tolist() for w in words)))
+    assert keys == sorted(keys)
+    return dict(zip(keys, n.tolist()))
+
+
 def test_trie_bursts_and_spills():
     rng = np.random.default_rng(3)
-    trie, seen, wanted = BurstTrie(burst=4, held=100, splits=True), Counter(), Counter()
+    trie, seen, wanted = BurstTrie(burst=4, width=4), Counter(), Counter()
     for _ in range(30):
-        first, rest = rng.integers(1, 6, 40), np.zeros(40, np.int64)
-        for shift in (40, 20, 0):
-            rest |= rng.integers(0, 3, 40) << shift
-        wanted.update(zip(first.tolist(), rest.tolist()))
-        trie.add(first, rest)
-        assert trie.entries == sum(trie.sizes.values())
-        for root, entries in trie.spill(60):
-            seen.update({(root, r): n for r, n in entries})
-        assert trie.entries <= 60
-    assert any(isinstance(n, dict) and not isinstance(n, Counter) for n in trie.roots.values())
-    for root, entries in trie.spill(0):
-        seen.update({(root, r): n for r, n in entries})
+        words = [rng.integers(1, 200, 60), *(rng.integers(0, 3, 60) for _ in range(3))]
+        wanted.update(zip(*(w.tolist() for w in words)))
+        trie.add(words)
+        assert trie.entries == sum(trie.sizes.values()) == sum(len(x) for x in trie._leaves(trie.roots))
+        seen.update(spilled(trie, 300))
+        assert trie.entries <= 300
+    first = next(iter(trie.roots.values()))
+    assert isinstance(first, Node) and any(isinstance(n, Node) for n in first.values())
+    seen.update(spilled(trie, 0))
     assert seen == wanted and trie.entries == 0
 
 
-def test_runs_are_sorted_and_whole():
-    counter = TaskCounter(3, Mining(held=20), None)
-    runs = list(counter.add("en", [b"a b c d e a b c f a b", b"b c d b c e. b c a"])) + list(counter.finish())
+@pytest.mark.parametrize("width", [1, 2, 3, 4])
+def test_runs_are_whole(width):
+    counter = TaskCounter([width], Mining(held=20), None)
+    texts = [b"a b c d e a b c f a b", b"b c d b c e. b c a"]
+    runs = list(counter.add("en", texts)) + list(counter.add("de", texts[:1])) + list(counter.finish())
     counts = Counter()
     for run in runs:
-        rows = list(zip(*(c.to_pylist() for c in run.columns)))
-        assert len({r[1] for r in rows}) == 1 and [r[2] for r in rows] == sorted(r[2] for r in rows)
-        counts.update({(first + b" " + rest).decode(): n for _, first, rest, n in rows})
-    assert counts["b c d"] == 2 and counts["a b c"] == 2 and counts["b c a"] == 1 and counts["c e b"] == 0
+        for group, first, rest, n in zip(*(c.to_pylist() for c in run.columns)):
+            counts[group, (first + b" " + rest).decode().strip()] += n
+    wanted = Counter()
+    for group, text in (("en", texts[0]), ("en", texts[1]), ("de", texts[0])):
+        for piece in text.decode().split("."):
+            w = piece.split()
+            wanted.update((group, " ".join(w[i : i + width])) for i in range(len(w) - width + 1))
+    assert counts == wanted
 
 
 def test_products_beyond_64_bits(spark):

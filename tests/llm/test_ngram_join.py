@@ -78,3 +78,15 @@ def test_components_of_chains_stars_and_loops(spark):
         root[b] = a
     assert all(got[n] == find(n) for n in got)
     assert set(root) - set(got) == {n for n in root if all(n not in e or e[0] == e[1] for e in links)}
+
+
+def test_matrix_finds_all_links_without_stars(spark, make_docs, near_copies, monkeypatch):
+    """The star step only saves work: with none of its links the result is the same."""
+    from wickline.llm import ngram_join
+
+    def nothing(shared, nodes, rows, rule):
+        return shared.sparkSession.createDataFrame([], "u long, v long")
+
+    monkeypatch.setattr(ngram_join, "_star_step", nothing)
+    got = jaccard_components(make_docs(near_copies), JaccardJoin(width=3, percent=70, table_bits=14, group_size=4))
+    assert sorted((r.id, r.n_shingles, r.component_id) for r in got.collect()) == sorted(brute_force(near_copies, 3, 70))
