@@ -27,6 +27,9 @@ BLOCK_BYTES = 16 << 20
 PIECE_BYTES = 2 << 20
 WORDS = 2_500
 MIN_CLASS_SHARE = 0.01
+INNER, FINAL, NOWHERE = -1, -2, -3  # keys beside the bytes in the trie of pieces
+PIECE_BITS, WORD_BITS = 20, 15  # of a packed edge: end, word, length of the piece, piece
+LENGTH_BITS = PIECE_BITS + 8
 
 
 # ------------------------------------------------------------------------ the lattice
@@ -43,8 +46,16 @@ class Lattice:
         self.size = max(spec["vocab"].values()) + 1
         self.final = {p.removesuffix(suffix): i for p, i in spec["vocab"].items() if p.endswith(suffix)}
         self.inner = {p: i for p, i in spec["vocab"].items() if not p.endswith(suffix)}
-        self.begins = {p[:k] for p in (*self.final, *self.inner) for k in range(1, len(p) + 1)}
         self.letters = byte_letters()
+        of_letter = {letter: b for b, letter in enumerate(self.letters)}
+        # A trie over bytes: a node's children by byte, and its pieces by INNER and FINAL.
+        self.root: dict[int, dict | int] = {}
+        for kind, pieces in ((INNER, self.inner), (FINAL, self.final)):
+            for letters, i in pieces.items():
+                node = self.root
+                for c in letters:
+                    node = node.setdefault(of_letter.get(c, NOWHERE), {})
+                node[kind] = i
 
     def prior(self) -> np.ndarray:
         """Log probabilities before any text is seen: vocabularies of this kind are
@@ -54,22 +65,28 @@ class Lattice:
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, ...]:
         """(word, from, to, piece) of all pieces in all words, by end and word."""
-        final, inner, begins, table = self.final, self.inner, self.begins, self.letters
-        out: list[tuple[int, int, int, int]] = []
+        root, out = self.root, []
         for w, word in enumerate(words):
-            s = "".join([table[b] for b in word.encode("utf-8", "surrogatepass")])
-            n = len(s)
-            for i in range(n):
-                for j in range(i + 1, n + 1):
-                    part = s[i:j]
-                    if part not in begins:
+            data = word.encode("utf-8", "surrogatepass")
+            last = len(data) - 1
+            for i in range(len(data)):
+                node = root
+                for j in range(i, last + 1):
+                    node = node.get(data[j])
+                    if node is None:
                         break
-                    piece = (final if j == n else inner).get(part)
+                    piece = node.get(FINAL if j == last else INNER)
                     if piece is not None:
-                        out.append((j, w, i, piece))
-        out.sort()
-        to, word, start, piece = np.array(out, np.int64).reshape(-1, 4).T
-        return word, start, to, piece
+                        out.append(((j + 1) << WORD_BITS | w) << LENGTH_BITS | (j + 1 - i) << PIECE_BITS | piece)
+        # Numbers that sort by end and word; too wide for 64 bits only if a word has millions of bytes.
+        if out and max(out) >= 1 << 63:
+            key = np.array(sorted(out), object)
+        else:
+            key = np.sort(np.array(out, np.int64))
+        place, rest = key >> LENGTH_BITS, key & ((1 << LENGTH_BITS) - 1)
+        columns = place & ((1 << WORD_BITS) - 1), place >> WORD_BITS, rest >> PIECE_BITS, rest & ((1 << PIECE_BITS) - 1)
+        word, to, length, piece = (c.astype(np.int64) for c in columns)
+        return word, to - length, to, piece
 
     @staticmethod
     def _batches(words: list[str]) -> Iterator[np.ndarray]:
