@@ -55,3 +55,23 @@ def test_pipeline_stages(spark, make_docs):
     kept = {c for _, _, c in brute_force(left, 5, 80)}
     assert sorted(r.doc_id for r in out["near_duplicates"]) == sorted(kept)
     assert {r.doc_id for r in out["packing"]} == kept
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, digest string, id_key string, id string, text_hash long, component long, kept boolean, removed int"
+
+
+@pytest.mark.parametrize("rows", [[], [(1, "a b c d e f g h i j k l", "x"), (2, "a b c d e f g h i j k l", "y"), (None, "m n o p q r s t u v w", "z"), (3, None, "n"), (4, "word " * 30_000, "l"), (4, "", "e")]])
+def test_stages_with_odd_rows_and_clashing_columns(spark, rows):
+    full = [(i, t, "en", None, None, mark, mark, mark, 7, 8, True, 9) for i, t, mark in rows]
+    docs = spark.createDataFrame(full, CLASHING)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "").cache()
+        kept[name] = docs.collect()
+        if name != "packing":
+            assert docs.columns == CLASHING.replace(",", "").split()[::2]
+    if rows:
+        assert sorted((r.doc_id is None, r.doc_id or 0, r.digest) for r in kept["exact_duplicates"]) == [(False, 1, "x"), (True, 0, "z")]
+        assert {r.doc_id for r in kept["packing"]} == {1, None}
+    else:
+        assert not any(kept.values())

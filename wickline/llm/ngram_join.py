@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,20 +22,28 @@ RANGE = 1 << 14
 FILTER_WORDS = 1 << 16
 STAR = 500
 STARS = 3
+COUNTER_BYTES = 128
+LEAST_BITS, MOST_BITS = 16, 24
 
 
 @dataclass(frozen=True)
 class JaccardJoin:
     """Documents link when ``100 * intersection >= percent * union`` of their distinct
     ``width``-word shingles. ``table_bits``: 2 ** table_bits counters estimate how
-    often shingles occur; they only order the shingles, the result is the same for any
-    number. ``group_size``: members of a group of the matrix."""
+    often shingles occur, by default one for ``COUNTER_BYTES`` of text within
+    ``LEAST_BITS`` and ``MOST_BITS``; they only order the shingles, the result is the same
+    for any number. ``group_size``: members of a group of the matrix."""
 
     width: int = 5
     percent: int = 80
-    table_bits: int = 22
+    table_bits: int | None = None
     group_size: int = 64
 
+    def sized(self, n_bytes: int) -> JaccardJoin:
+        """The rule with counters in proportion to the text."""
+        bits = self.table_bits or min(max((n_bytes // COUNTER_BYTES).bit_length(), LEAST_BITS), MOST_BITS)
+        return replace(self, table_bits=bits)
+
     def prefix(self, n: np.ndarray) -> np.ndarray:
         return n + (-self.percent * n // 100) + 1
 
@@ -75,7 +82,7 @@ def _bucket(keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _local_counts(width: int, bits: int):
-    """A task's counters, in compressed ranges."""
+    """A task's counters, in packed ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << bits, np.uint32)
@@ -89,8 +96,23 @@ def _local_counts(width: int, bits: int):
     return run
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """A range of counters: a bit for each that isn't 0, then those byte by byte."""
+    found = counts > 0
+    some = counts[found].astype("<u8")
+    return np.packbits(found).tobytes() + np.ascontiguousarray(some.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    counts = np.zeros(RANGE, np.uint64)
+    raw = np.frombuffer(packed, np.uint8)
+    found = np.unpackbits(raw[: RANGE // 8]).view(bool)
+    counts[found] = np.ascontiguousarray(raw[RANGE // 8 :].reshape(8, -1).T).view("<u8").ravel()
+    return counts
+
+
 def _ranges(salt: int, parts: dict[int, np.ndarray]) -> pa.RecordBatch:
-    blobs = [zlib.compress(p.astype(np.uint64).tobytes(), 1) for p in parts.values()]
+    blobs = [_packed(p) for p in parts.values()]
     columns = [pa.array([salt] * len(parts), pa.int32()), pa.array(list(parts), pa.int32()), pa.array(blobs, pa.binary())]
     return pa.RecordBatch.from_arrays(columns, names=["salt", "part", "counts"])
 
@@ -100,11 +122,11 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, total = None, None
     for batch in batches:
         for salt, part, blob in zip(*(c.to_pylist() for c in batch.columns)):
-            counts = np.frombuffer(zlib.decompress(blob), np.uint64)
+            counts = _unpacked(blob)
             if (salt, part) != key:
                 if key is not None:
                     yield _ranges(key[0], {key[1]: total})
-                key, total = (salt, part), counts.copy()
+                key, total = (salt, part), counts
             else:
                 total += counts
     if key is not None:
@@ -117,13 +139,13 @@ def count_classes(texts: DataFrame, rule: JaccardJoin) -> np.ndarray:
     2 ** table_bits bytes at most."""
     schema = "salt int, part int, counts binary"
     local = texts.select("text").mapInArrow(_local_counts(rule.width, rule.table_bits), schema)
-    salted = local.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(32)).cast("int"))
+    salted = local.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(8)).cast("int"))
     for salt in (F.col("salt"), F.lit(0)):
         placed = salted.withColumn("salt", salt.cast("int")).repartition("salt", "part")
         salted = placed.sortWithinPartitions("salt", "part").mapInArrow(_add_up, schema)
     classes = np.zeros(1 << rule.table_bits, np.uint8)
     for row in salted.toLocalIterator():
-        counts = np.frombuffer(zlib.decompress(row.counts), np.uint64)
+        counts = _unpacked(row.counts)
         classes[row.part * RANGE : (row.part + 1) * RANGE] = np.ceil(np.log2(counts.astype(np.float64) + 1))
     return classes
 
@@ -214,7 +236,7 @@ def _sets_of(rows: DataFrame, asked: DataFrame, rule: JaccardJoin) -> DataFrame:
 def _short_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets with the sorted first 16 bits of their shingles. Equal shingles have equal
     bits, so short forms share at least as many items as the sets do."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in W.slices(whole, ["set"], SHINGLE_BYTES)):
         short = [(np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(48)).astype(np.uint16).tobytes() for x in batch.column(1)]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(short, pa.binary())], names=["node", "set", "short"])
 
@@ -236,7 +258,7 @@ def _enough(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _pair_links(percent: int, kind: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in W.slices(whole, ["u_set", "v_set"], SHINGLE_BYTES)):
             sets = [[np.frombuffer(x.as_buffer(), kind) for x in batch.column(k)] for k in (2, 3)]
             good = [_enough(a, b, percent) for a, b in zip(*sets)]
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
@@ -249,12 +271,12 @@ def _star_links(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         star, pivot = None, None
-        for batch in batches:
+        for batch in (part for whole in batches for part in W.slices(whole, ["set"], SHINGLE_BYTES)):
             found: list[tuple[int, int]] = []
-            for at, salt, node, blob in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                shingles = np.frombuffer(blob, np.uint64)
+            for at, salt, node, blob in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3)):
+                shingles = np.frombuffer(blob.as_buffer(), np.uint64)
                 if node == at:
-                    star, pivot = (at, salt), shingles
+                    star, pivot = (at, salt), shingles.copy()
                 elif (at, salt) == star and _enough(pivot, shingles, percent):
                     found.append((at, node))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ([], []))], names=["u", "v"])
@@ -399,6 +421,7 @@ def jaccard_components(df: DataFrame, rule: JaccardJoin = JaccardJoin(), id_col:
     spark = df.sparkSession
     rows = _rows(df, id_col, text_col)
     kind = rows.schema["id"].dataType.simpleString()
+    rule = rule.sized(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     classes = spark.sparkContext.broadcast(count_classes(rows, rule))
     numbered = rows.select(F.monotonically_increasing_id().alias("row_id"), "*")
     schema = f"row_id long, id {kind}, id_key string, text_hash long, n long, digest binary, prefix array<long>"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,7 +46,36 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = PIECE_BYTES) -> Iterat
         held += size
     if start < len(texts):
         yield batch.slice(start), texts.slice(start)
-    pa.default_memory_pool().release_unused()  # idle workers keep what they don't give back
+    give_back()
+
+
+@functools.cache
+def _trim():
+    """What hands freed memory back to the system, where the C library has it."""
+    name = ctypes.util.find_library("c")
+    return getattr(ctypes.CDLL(name), "malloc_trim", None) if name else None
+
+
+def give_back() -> None:
+    """Returns freed memory: a worker that waits for its next task keeps what it doesn't
+    give back, and an executor may have more workers than tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
+
+
+def slices(batch: pa.RecordBatch, columns: list[str], limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``limit`` bytes in its binary ``columns`` (or one row)."""
+    sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    start, held = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if held and held + size > limit:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if start < batch.num_rows:
+        yield batch.slice(start)
+    give_back()
 
 
 def _encoded(lists: pa.Array, keep: pa.Array, flat: pa.Array) -> Tokens:
